@@ -50,8 +50,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def write_shared(spark: SparkSession, name: str, payload: bytes) -> str:
-    """Write bytes into the shared folder through Hadoop's file system; returns the URI."""
-    uri = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}/{name}"
+    """Write bytes into the shared folder, under a name of their own, through Hadoop's file system; returns the URI."""
+    uri = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}-{name}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(uri)
     stream = path.getFileSystem(conf).create(path, True)
