@@ -191,13 +191,13 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", v
     """(key, ids array<int>) for every row of docs."""
     spark = docs.sparkSession
     uri = build_lexicon(docs, vocabulary, text, lexicon_size)
-    spark.sparkContext.addFile(uri.rsplit("/", 1)[0], recursive=True)
-    folder = uri.rsplit("/", 2)[1]
+    spark.sparkContext.addFile(uri)
+    name = uri.rsplit("/", 1)[1]
     opened: dict[str, Transducer] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = f"{SparkFiles.get(folder)}/lexicon.npy"
-        lexicon = opened.setdefault(path, Transducer(path))
+        path = SparkFiles.get(name)
+        lexicon = opened.get(path) or opened.setdefault(path, Transducer(path))
         for batch in rebatch(batches):
             chunks, codes, limits = chunk_codes(batch.column(1))
             found = [pretokens(c) for c in chunks]
