@@ -15,8 +15,26 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.leaks import leaked_documents
+
+    return leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_questions"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.leaks import leak_spans
+
+    return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_questions"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.leaks import leaked_items
+
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_questions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {f.__name__: f for f in (p7_ids, p8_found, p8_spans, p8_items)}
 
 
 def oracle_sql() -> dict[str, str]:
