@@ -1,0 +1,29 @@
+"""Queries of problems 4, 5 and 6."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltworks.operators.bagminhash import NearDuplicates, conversation_text
+from siltworks.session import table
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = [table(spark, sf_dir, t).select(F.lit(t).alias("src"), F.col("row_id").alias("id"), conversation_text().alias("text")) for t in ("sft_train", "scored_pool")]
+    return each[0].unionByName(each[1])
+
+
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return NearDuplicates(_conversations(spark, sf_dir), threshold=0.6, shingle=3, weighted=False)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).pairs().select(F.col("src").alias("src_table"), "id_a", "id_b")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).groups().select(F.col("src").alias("src_table"), F.col("id").alias("row_id"), "group_id", "links")
+
+
+QUERIES = (p5_found, p5_groups)

@@ -60,3 +60,10 @@ def write_shared(spark: SparkSession, name: str, payload: bytes) -> str:
     finally:
         stream.close()
     return uri
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows written once as parquet into the shared folder and read from there: lineage is cut, columns stay prunable."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
