@@ -5,10 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltworks.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.truncation import cut_outputs
+
+    found = cut_outputs(*(table(spark, sf_dir, t) for t in ("turns", "traces", "generations")))
+    return found.where("cut").select(F.col("src").alias("src_table"), F.col("id").alias("record_id"))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.truncation import cut_rates
+
+    return cut_rates(*(table(spark, sf_dir, t) for t in ("turns", "traces", "generations")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.syntax import check_syntax, stored_files
+
+    files = stored_files(table(spark, sf_dir, "turns"), table(spark, sf_dir, "code_instruct"))
+    return check_syntax(files).where("not valid").select(F.col("src").alias("src_table"), F.col("id").alias("record_id")).distinct()
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.syntax import invalid_rates
+
+    return invalid_rates(*(table(spark, sf_dir, t) for t in ("turns", "traces", "code_instruct")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltworks.llm.encode import encode_documents
 
@@ -34,7 +61,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_found, p8_spans, p8_items)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_rates, p7_ids, p8_found, p8_spans, p8_items)}
 
 
 def oracle_sql() -> dict[str, str]:
