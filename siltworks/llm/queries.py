@@ -60,8 +60,29 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_questions"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.langid import fit_languages, unnamed_languages
+
+    docs = table(spark, sf_dir, "documents")
+    return unnamed_languages(docs, fit_languages(docs))
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.langid import document_languages, fit_languages
+
+    docs = table(spark, sf_dir, "documents")
+    return document_languages(docs, fit_languages(docs))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.langid import fit_languages, language_segments
+
+    docs = table(spark, sf_dir, "documents")
+    return language_segments(docs, fit_languages(docs)).select("doc_id", "segment", "start", "end", "lang", F.round("confidence", 6).alias("confidence"), "prose")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_rates, p7_ids, p8_found, p8_spans, p8_items)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_rates, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
