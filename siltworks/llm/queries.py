@@ -23,6 +23,23 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rates(*(table(spark, sf_dir, t) for t in ("turns", "traces", "generations")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.langid import fit_languages
+    from siltworks.llm.pairs import defective_answers, stored_pairs
+
+    pairs = stored_pairs(*(table(spark, sf_dir, t) for t in ("sft_train", "eval_samples", "func_tasks")))
+    found = defective_answers(pairs, fit_languages(table(spark, sf_dir, "documents")))
+    return found.select(F.col("src").alias("src_table"), F.col("id").alias("record_id"), "field", "defect")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltworks.llm.langid import fit_languages
+    from siltworks.llm.pairs import defect_rates, defective_answers, stored_pairs
+
+    pairs = stored_pairs(*(table(spark, sf_dir, t) for t in ("sft_train", "eval_samples", "func_tasks")))
+    return defect_rates(pairs, defective_answers(pairs, fit_languages(table(spark, sf_dir, "documents"))))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltworks.llm.syntax import check_syntax, stored_files
 
@@ -82,7 +99,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_rates, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_rates, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
