@@ -40,7 +40,7 @@ NAMES = {
     "japanese": "ja", "jpn": "ja", "日本語": "ja", "jp": "ja",
 }
 BINS = 1 << 17
-_NO_PROSE = re.compile(r"^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t]*\1`*[ \t]*$|\Z)|<submit>.*?(?:</submit>|\Z)|^[ \t]*\|[^\n]*$|</?[a-zA-Z!][^<>\n]{0,200}>", re.M | re.S)
+_NO_PROSE = re.compile(r"(?:^|(?<=[ \t]))(`{3,}|~{3,})[^\n`]*\n.*?(?:^[ \t]*\1`*[ \t]*$|\Z)|<submit>.*?(?:</submit>|\Z)|^[ \t]*\|[^\n]*$|</?[a-zA-Z!][^<>\n]{0,200}>", re.M | re.S)
 
 
 def label_languages(label: str | None) -> list[str]:
