@@ -1,0 +1,123 @@
+"""Mixing sources to target shares of the total size (problem 6).
+
+Sizes are summed per cell of source and topic. Iterative proportional fitting rakes the cells to the topics' shares of the pool and
+to the sources' target weights, the sources last, so that their shares are exact; a cell's weight never passes the repeats that its
+source allows. A row is then used floor(weight) times and once more with the rest as probability, drawn by the pivotal method along
+the sizes, so that rows that duel are of like size.
+
+The total is the largest at which every source that has rows meets its weight within its repeats, unless `total` is given; then a
+source that cannot meet its weight gives all it may and the others share the rest by their weights.
+
+Defined cases: rows of sources without a weight are not used; sources without rows are reported with a gap; null or negative sizes
+count as 0 and such rows are not used; null topics are a topic; an empty pool gives an empty mix and a full report.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltworks.operators.pivotal import pivotal_sample
+
+
+def source_totals(size: np.ndarray, weight: np.ndarray, repeats: np.ndarray, total: float | None) -> np.ndarray:
+    """The size that each source is to give: its weight of the total, no more than size * repeats; what is lost goes to the others."""
+    most = size * repeats
+    weight = np.where(most > 0, weight, 0.0)
+    if weight.sum() <= 0:
+        return np.zeros(len(size))
+    weight = weight / weight.sum()
+    if total is None:
+        used = weight > 0
+        return weight * np.min(most[used] / weight[used])
+    fixed = np.full(len(size), np.nan)
+    fixed[weight == 0] = 0.0
+    while True:
+        free = np.isnan(fixed)
+        give = np.where(free, 0.0, fixed)
+        if free.any():
+            give[free] = weight[free] / weight[free].sum() * max(0.0, total - np.nansum(fixed))
+        over = free & (give > most)
+        if not over.any():
+            return give
+        fixed[over] = most[over]
+
+
+def rake(cells: np.ndarray, source: np.ndarray, topic: np.ndarray, source_target: np.ndarray, topic_target: np.ndarray, cap: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """Weights of the cells: sums of weight * size meet the topics as near as the caps allow and the sources exactly."""
+    weight = np.ones(len(cells))
+
+    def fit(of: np.ndarray, target: np.ndarray) -> None:
+        """Scale to the target; cells at their cap stay there and the others make up for them."""
+        for _ in range(len(cells) + 1):
+            held = weight >= cap * (1 - 1e-12)
+            fixed = np.bincount(of, np.where(held, weight * cells, 0.0), len(target))
+            loose = np.bincount(of, np.where(held, 0.0, weight * cells), len(target))
+            factor = np.divide(np.maximum(target - fixed, 0.0), loose, out=np.ones(len(target)), where=loose > 0)
+            over_held = fixed > target * (1 + 1e-12)
+            weight[:] = np.where(held & ~over_held[of], weight, weight * np.where(over_held, np.divide(target, fixed + loose, out=np.zeros(len(target)), where=fixed + loose > 0), factor)[of])
+            if not (weight > cap * (1 + 1e-12)).any():
+                return
+            np.minimum(weight, cap, out=weight)
+
+    for _ in range(rounds):
+        before = weight.copy()
+        fit(topic, topic_target)
+        fit(source, source_target)
+        if np.abs(weight - before).max(initial=0.0) <= tolerance:
+            break
+    return weight
+
+
+class SourceMix:
+    """rows: any columns with key, source, size and topic; weights: source, target_weight, max_repeats."""
+
+    def __init__(self, rows: DataFrame, weights: DataFrame, key: str, source: str, size: str, topic: str, total: float | None = None, seed: int = 42, max_cells: int = 100_000):
+        self.key, self.seed = key, seed
+        self.rows = rows.withColumns({"mix_source": F.col(source), "mix_size": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("double"), "mix_topic": F.coalesce(F.col(topic).cast("string"), F.lit(""))})
+        cells = self.rows.where(F.col(key).isNotNull() & F.col("mix_source").isNotNull() & (F.col("mix_size") > 0)).groupBy("mix_source", "mix_topic").agg(F.count("*").alias("rows"), F.sum("mix_size").alias("chars"))
+        wanted = weights.groupBy(F.col("source").alias("mix_source")).agg(F.sum("target_weight").alias("target_weight"), F.min("max_repeats").alias("max_repeats"))
+        cells = cells.join(wanted.select("mix_source"), "mix_source").limit(max_cells + 1).toPandas()  # sources with a weight, by topic
+        if len(cells) > max_cells:
+            raise ValueError(f"more than {max_cells} cells of source and topic")
+        self.cells = cells = cells.sort_values(["mix_source", "mix_topic"], ignore_index=True)
+        self.sources = s = wanted.orderBy("mix_source").toPandas()
+        at = np.searchsorted(s["mix_source"].to_numpy(str), cells["mix_source"].to_numpy(str)) if len(cells) else np.zeros(0, np.int64)
+        s["rows"] = np.bincount(at, cells["rows"], len(s)).astype(np.int64)
+        s["chars"] = np.bincount(at, cells["chars"], len(s))
+        repeats = s["max_repeats"].fillna(1).to_numpy(float)
+        s["wanted"] = source_totals(s["chars"].to_numpy(float), s["target_weight"].fillna(0).to_numpy(float), repeats, total)
+        topics, topic_at = np.unique(cells["mix_topic"].to_numpy(str), return_inverse=True)
+        pool = np.bincount(topic_at, cells["chars"], len(topics)) if len(cells) else np.zeros(0)
+        target = pool / pool.sum() * s["wanted"].sum() if pool.sum() > 0 else pool
+        cells["weight"] = rake(cells["chars"].to_numpy(float), at, topic_at, s["wanted"].to_numpy(float), target, repeats[at]) if len(cells) else []
+
+    def mix(self) -> DataFrame:
+        """The used rows, all columns, with `repeats`, how often each is used."""
+        spark, cells = self.rows.sparkSession, self.cells
+        whole = np.floor(cells["weight"].to_numpy(float) + 1e-9)
+        part = np.clip(cells["weight"].to_numpy(float) - whole, 0, 1)
+        # whole numbers of extra rows a cell, so that no draw is left over
+        part = np.round(part * cells["rows"]) / cells["rows"].clip(lower=1)
+        listed = [(str(a), str(b), int(w), float(p), i) for i, (a, b, w, p) in enumerate(zip(cells["mix_source"], cells["mix_topic"], whole, part))]
+        table = F.broadcast(spark.createDataFrame(listed, "mix_source string, mix_topic string, whole int, part double, category int"))  # one row a cell
+        joined = self.rows.where(F.col(self.key).isNotNull() & (F.col("mix_size") > 0)).join(table, ["mix_source", "mix_topic"])
+        units = joined.where("part > 0").select("category", F.col(self.key).alias("key"), F.col("part").alias("prob"), F.col("mix_size").alias("place"))
+        sizes = {i: int(n) for i, (n, p) in enumerate(zip(cells["rows"], part)) if p > 0}
+        extra = pivotal_sample(units, sizes, self.seed).select(F.col("key").alias(self.key)).distinct().withColumn("extra", F.lit(1))
+        used = joined.join(extra, self.key, "left").withColumn("repeats", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int"))
+        return used.where("repeats > 0").drop("whole", "part", "category", "extra", "mix_topic")
+
+    def report(self) -> DataFrame:
+        """Per source: target and actual share of all characters, what is there and used, the gap, and why."""
+        mixed = self.mix().groupBy("mix_source").agg(F.sum(F.col("mix_size") * F.col("repeats")).alias("used"), F.max("repeats").alias("most"))
+        used = {r.mix_source: (r.used, r.most) for r in mixed.collect()}  # one row a source
+        all_used = sum(u for u, _ in used.values()) or 1.0
+        out = []
+        for r in self.sources.itertuples(index=False):
+            u, most = used.get(r.mix_source, (0.0, 0))
+            share = u / all_used
+            reason = "no rows" if r.rows == 0 else "repeats used up" if r.target_weight - share > 0.005 else "met" if abs(share - r.target_weight) <= 0.005 else "share of others"
+            out.append((r.mix_source, float(r.target_weight), int(r.max_repeats), int(r.rows), float(r.chars), float(u), float(share), float(r.target_weight - share), int(most), reason))
+        return self.rows.sparkSession.createDataFrame(out, "source string, target_weight double, max_repeats int, rows long, chars double, used_chars double, share double, gap double, most_repeats int, reason string")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators.bagminhash import NearDuplicates, conversation_text
+from siltworks.operators.calibrated import CalibratedSample
+from siltworks.operators.mixing import SourceMix
 from siltworks.session import table
 
 
@@ -26,4 +28,38 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups().select(F.col("src").alias("src_table"), F.col("id").alias("row_id"), "group_id", "links")
 
 
-QUERIES = (p5_found, p5_groups)
+def plain_source(column: str = "source") -> Column:
+    """One spelling for sources that differ in case, blanks at the ends or `_` for `-`."""
+    return F.regexp_replace(F.lower(F.trim(column)), "_", "-")
+
+
+def _calibrated(spark: SparkSession, sf_dir: str) -> CalibratedSample:
+    rows = table(spark, sf_dir, "scored_pool").select("row_id", plain_source().alias("source"), "pass_count")
+    targets = table(spark, sf_dir, "tier_targets").select(plain_source().alias("source"), "pass_count", "target_share", "min_rows")
+    return CalibratedSample(rows, targets, ["source", "pass_count"], "row_id", fraction=0.2)
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated(spark, sf_dir).sample()
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated(spark, sf_dir).report()
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> SourceMix:
+    text = F.aggregate(F.filter("messages", lambda m: ~F.coalesce(m["role"] == "system", F.lit(False))), F.lit(0), lambda n, m: n + F.coalesce(F.length(m["content"]), F.lit(0)))
+    rows = table(spark, sf_dir, "scored_pool").select("row_id", plain_source().alias("source"), F.coalesce("question_chars", text).alias("chars"), F.col("pass_count").alias("topic"))
+    weights = table(spark, sf_dir, "mix_weights").select(plain_source().alias("source"), "target_weight", "max_repeats")
+    return SourceMix(rows, weights, "row_id", "source", "chars", "topic")
+
+
+def p6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).mix().select("row_id", "source", "chars", "topic", "repeats")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).report()
+
+
+QUERIES = (p4_sample, p4_report, p5_found, p5_groups, p6_mix, p6_report)
