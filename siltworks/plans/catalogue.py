@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.plans import core_problems
+from siltworks.functions.text import fingerprint
+from siltworks.plans import core_problems, pipelines
+from siltworks.plans import queries as inventory
+from siltworks.session import table
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    known = table(spark, sf_dir, "eval_questions").where("question_content is not null").select(fingerprint("question_content").alias("fp"))
+    return pipelines.curated(table(spark, sf_dir, "documents"), known, 100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in core_problems.QUERIES}
+    return inventory.QUERIES | {"pipeline_curated": flagship} | {f.__name__: f for f in core_problems.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(inventory.SQL)
