@@ -92,7 +92,7 @@ def distinct_per_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
 
 def row_set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One 64-bit key for the multiset of each row, 0 for an empty row."""
-    total = np.concatenate([[0], np.cumsum(mix64(values), dtype=np.uint64)]).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values), dtype=np.uint64)])
     with np.errstate(over="ignore"):
         sums = total[offsets[1:]] - total[offsets[:-1]]
         keys = mix64(sums + mix64(np.diff(offsets).astype(np.uint64)))

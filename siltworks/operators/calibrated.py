@@ -7,8 +7,9 @@ their rows, those below their floor at the floor, and the rest is solved again.
 largest remainders, and rows are drawn with the resulting probabilities by the pivotal method.
 
 Defined cases: categories with null parts are matched like any value; rows of categories without a target are not drawn; targets
-for empty categories are reported with no rows; duplicate keys are separate rows; an empty pool gives an empty sample and a full
-report; repeated targets of a category are summed. Targets are few: more than `max_categories` raise an error.
+for empty categories are reported with no rows; rows with a null key are left out and rows repeated with a key count once; an empty
+pool gives an empty sample and a full report; repeated targets of a category are summed; extra columns pass through, but one named
+`probability` is replaced. Targets are few: more than `max_categories` raise an error.
 """
 
 from __future__ import annotations
@@ -74,9 +75,10 @@ class CalibratedSample:
     """rows: any columns with `key` and the category columns; targets: the category columns, target_share, min_rows."""
 
     def __init__(self, rows: DataFrame, targets: DataFrame, categories: list[str], key: str, fraction: float = 0.2, size: int | None = None, seed: int = 42, max_categories: int = 100_000):
+        rows = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
         self.rows, self.categories, self.key, self.seed = rows, categories, key, seed
         wanted = targets.groupBy(*categories).agg(F.sum("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"))
-        counts = rows.where(F.col(key).isNotNull()).groupBy(*categories).agg(F.count("*").alias("available"))
+        counts = rows.groupBy(*categories).agg(F.count("*").alias("available"))
         match = [wanted[c].eqNullSafe(counts[c]) for c in categories]
         condition = match[0]
         for m in match[1:]:
@@ -97,22 +99,23 @@ class CalibratedSample:
     def sample(self) -> DataFrame:
         """The drawn rows, all columns, with their inclusion probability."""
         spark, t = self.rows.sparkSession, self.table
-        numbered = t[[*self.categories, "probability"]].assign(category=np.arange(len(t), dtype=np.int32))
-        schema = ", ".join([f"`{c}` {self.rows.schema[c].dataType.simpleString()}" for c in self.categories] + ["probability double", "category int"])
-        clean = [tuple(None if v is None or v != v else (v.item() if hasattr(v, "item") else v) for v in row) for row in numbered.itertuples(index=False)]
         kinds = {c: self.rows.schema[c].dataType.simpleString() for c in self.categories}
-        clean = [tuple(int(v) if v is not None and k in ("int", "bigint", "smallint", "tinyint") else v for v, k in zip(row, [*kinds.values(), "double", "int"])) for row in clean]
-        cells = F.broadcast(spark.createDataFrame(clean, schema))  # one row a target
+        cells = []
+        for number, row in enumerate(t[[*self.categories, "probability"]].itertuples(index=False)):
+            values = [None if v is None or v != v else int(v) if "int" in k else v for v, k in zip(row, kinds.values())]
+            cells.append((*values, float(row[-1]), number))
+        schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "p__ double", "c__ int"])
+        table = F.broadcast(spark.createDataFrame(cells, schema))  # one row a target
         condition = None
         for c in self.categories:
-            m = self.rows[c].eqNullSafe(cells[c])
+            m = self.rows[c].eqNullSafe(table[c])
             condition = m if condition is None else condition & m
-        joined = self.rows.where(F.col(self.key).isNotNull()).join(cells, condition).select(*(self.rows[c] for c in self.rows.columns), "probability", "category").where("probability > 0")
+        joined = self.rows.join(table, condition).select(*(self.rows[c] for c in self.rows.columns if c != "probability"), "p__", "c__").where("p__ > 0")
         order = F.xxhash64(self.key, F.lit(self.seed)).cast("double")
-        units = joined.select("category", F.col(self.key).alias("key"), F.col("probability").alias("prob"), order.alias("place"))
+        units = joined.select(F.col("c__").alias("category"), F.col(self.key).alias("key"), F.col("p__").alias("prob"), order.alias("place"))
         sizes = dict(enumerate(t["available"].astype(int).tolist()))
         chosen = pivotal_sample(units, sizes, self.seed)
-        return joined.join(chosen.select(F.col("key").alias(self.key)).distinct(), self.key, "left_semi").drop("category")
+        return joined.join(chosen.select(F.col("key").alias(self.key)), self.key, "left_semi").drop("c__").withColumnRenamed("p__", "probability")
 
     def report(self) -> DataFrame:
         """Per target: its share and floor, what is there, what was wanted and drawn, the shares drawn and missed, and why."""

@@ -9,7 +9,8 @@ The total is the largest at which every source that has rows meets its weight wi
 source that cannot meet its weight gives all it may and the others share the rest by their weights.
 
 Defined cases: rows of sources without a weight are not used; sources without rows are reported with a gap; null or negative sizes
-count as 0 and such rows are not used; null topics are a topic; an empty pool gives an empty mix and a full report.
+count as 0 and such rows are not used; null topics are a topic; rows with a null key are left out and rows repeated with a key
+count once; an empty pool gives an empty mix and a full report; extra columns pass through, but one named `repeats` is replaced.
 """
 
 from __future__ import annotations
@@ -75,8 +76,8 @@ class SourceMix:
 
     def __init__(self, rows: DataFrame, weights: DataFrame, key: str, source: str, size: str, topic: str, total: float | None = None, seed: int = 42, max_cells: int = 100_000):
         self.key, self.seed = key, seed
-        self.rows = rows.withColumns({"mix_source": F.col(source), "mix_size": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("double"), "mix_topic": F.coalesce(F.col(topic).cast("string"), F.lit(""))})
-        cells = self.rows.where(F.col(key).isNotNull() & F.col("mix_source").isNotNull() & (F.col("mix_size") > 0)).groupBy("mix_source", "mix_topic").agg(F.count("*").alias("rows"), F.sum("mix_size").alias("chars"))
+        self.rows = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumns({"mix_source": F.col(source), "mix_size": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("double"), "mix_topic": F.coalesce(F.col(topic).cast("string"), F.lit(""))})
+        cells = self.rows.where(F.col("mix_source").isNotNull() & (F.col("mix_size") > 0)).groupBy("mix_source", "mix_topic").agg(F.count("*").alias("rows"), F.sum("mix_size").alias("chars"))
         wanted = weights.groupBy(F.col("source").alias("mix_source")).agg(F.sum("target_weight").alias("target_weight"), F.min("max_repeats").alias("max_repeats"))
         cells = cells.join(wanted.select("mix_source"), "mix_source").limit(max_cells + 1).toPandas()  # sources with a weight, by topic
         if len(cells) > max_cells:
@@ -101,13 +102,13 @@ class SourceMix:
         # whole numbers of extra rows a cell, so that no draw is left over
         part = np.round(part * cells["rows"]) / cells["rows"].clip(lower=1)
         listed = [(str(a), str(b), int(w), float(p), i) for i, (a, b, w, p) in enumerate(zip(cells["mix_source"], cells["mix_topic"], whole, part))]
-        table = F.broadcast(spark.createDataFrame(listed, "mix_source string, mix_topic string, whole int, part double, category int"))  # one row a cell
-        joined = self.rows.where(F.col(self.key).isNotNull() & (F.col("mix_size") > 0)).join(table, ["mix_source", "mix_topic"])
-        units = joined.where("part > 0").select("category", F.col(self.key).alias("key"), F.col("part").alias("prob"), F.col("mix_size").alias("place"))
+        table = F.broadcast(spark.createDataFrame(listed, "mix_source string, mix_topic string, mix_whole int, mix_part double, mix_cell int"))  # one row a cell
+        joined = self.rows.where("mix_size > 0").join(table, ["mix_source", "mix_topic"])
+        units = joined.where("mix_part > 0").select(F.col("mix_cell").alias("category"), F.col(self.key).alias("key"), F.col("mix_part").alias("prob"), F.col("mix_size").alias("place"))
         sizes = {i: int(n) for i, (n, p) in enumerate(zip(cells["rows"], part)) if p > 0}
-        extra = pivotal_sample(units, sizes, self.seed).select(F.col("key").alias(self.key)).distinct().withColumn("extra", F.lit(1))
-        used = joined.join(extra, self.key, "left").withColumn("repeats", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int"))
-        return used.where("repeats > 0").drop("whole", "part", "category", "extra", "mix_topic")
+        extra = pivotal_sample(units, sizes, self.seed).select(F.col("key").alias(self.key)).withColumn("mix_extra", F.lit(1))
+        used = joined.join(extra, self.key, "left").withColumn("repeats", (F.col("mix_whole") + F.coalesce("mix_extra", F.lit(0))).cast("int"))
+        return used.where("repeats > 0").drop("mix_whole", "mix_part", "mix_cell", "mix_extra", "mix_topic")
 
     def report(self) -> DataFrame:
         """Per source: target and actual share of all characters, what is there and used, the gap, and why."""
