@@ -1040,6 +1040,24 @@ class Java(CLike):
         elif not some:
             raise Bad("try without catch")
 
+    def statement(self) -> None:
+        if self.at("yield") and not (self.kinds[self.i + 1] == "op" and self.toks[self.i + 1] in ("=", ".", "(", "[", "++", "--", ";")):
+            self.i += 1
+            self.expression()
+            return self.expect(";")
+        return super().statement()
+
+    def operand(self) -> None:
+        if self.toks[self.i - 1] == "instanceof" and self.i:
+            self.accept("final")
+            self.type()
+            if self.at("("):
+                self.balanced()
+            if self.is_name():
+                self.i += 1
+            return
+        super().operand()
+
     def s_throw(self) -> None:
         self.expression()
         self.expect(";")
@@ -1988,8 +2006,8 @@ class Go(Parser):
             return self.expression()
         return None
 
-    def header(self, ranged: bool) -> None:
-        """What stands between the keyword and the block: up to three parts; no bare composite literals."""
+    def header(self, ranged: bool) -> int:
+        """What stands between the keyword and the block: up to three parts; no bare composite literals. Returns the semicolons."""
         outer, self.literals = self.literals, False
         parts = 0
         while not self.at("{"):
@@ -2002,6 +2020,7 @@ class Go(Parser):
                 if not self.at("{", ";"):
                     raise Bad(f"block expected, found {self.toks[self.i]!r}")
         self.literals = outer
+        return parts
 
     def statement(self) -> None:
         k, t = self.kinds[self.i], self.toks[self.i]
@@ -2018,7 +2037,8 @@ class Go(Parser):
             if t == "if":
                 return self.s_if()
             if t == "for":
-                self.header(True)
+                if self.header(True) == 1:
+                    raise Bad("for with one semicolon")
                 self.block()
                 return self.end()
             if t in ("switch", "select"):
@@ -2048,6 +2068,8 @@ class Go(Parser):
         if self.at("{"):
             raise Bad("condition expected")
         self.header(False)
+        if self.toks[self.i - 1] == ";":
+            raise Bad("condition expected")
         self.block()
         if self.accept("else"):
             if self.accept("if"):
