@@ -91,3 +91,47 @@ def flattened_content(json_text: Column | str) -> Column:
     listed = F.array_join(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
     one = F.coalesce(F.try_variant_get(v, "$.text", "string"), F.try_variant_get(v, "$.content", "string"))
     return truthy_strip(F.when(parts.isNotNull(), listed).otherwise(F.coalesce(one, F.try_variant_get(v, "$", "string"), col(json_text))))
+
+
+#: Fixed candidate names of columns, the best first.
+QUESTION_NAMES = ("question", "prompt", "problem", "instruction", "input", "query")
+ANSWER_NAMES = ("response", "answer", "solution", "output", "completion", "r1_solution")
+
+
+def detect_layout(columns: list[str]) -> tuple[str, str | None, str | None]:
+    """('conversations' | 'messages' | 'columns', question column, answer column) of a table of questions and answers."""
+    for name in ("conversations", "messages"):
+        if name in columns:
+            return name, None, None
+    question = next((c for c in QUESTION_NAMES if c in columns), None)
+    answer = next((c for c in ANSWER_NAMES if c in columns), None)
+    if not question or not answer:
+        raise ValueError(f"no question and answer among {columns}")
+    return "columns", question, answer
+
+
+def text_pair(layout: tuple[str, str | None, str | None]) -> tuple[Column, Column]:
+    """Question and answer columns of a layout, stripped; conversations have `from` and `value` in place of role and content."""
+    kind, question, answer = layout
+    if kind == "columns":
+        return truthy_strip(question), truthy_strip(answer)
+    if kind == "messages":
+        return truthy_strip(first_content("messages", "user")), truthy_strip(first_content("messages", "assistant"))
+
+    def said(*names: str) -> Column:
+        own = F.filter("conversations", lambda m: F.lower(m["from"]).isin(*names) & (truthy_strip(m["value"]) != ""))
+        return truthy_strip(F.try_element_at(own, F.lit(1))["value"])
+
+    return said("user", "human"), said("assistant", "gpt")
+
+
+def stringified(value: Column, is_text: bool) -> Column:
+    """Text stripped, null empty, anything else as JSON."""
+    return truthy_strip(value) if is_text else F.coalesce(F.to_json(value), F.lit(""))
+
+
+def case_rows(df, public: str = "public_test_cases", functional: bool = False):
+    """Rows that keep a public case: of stdin kind, or of any known kind if functional ones are allowed."""
+    listed = cases(public)
+    kept = F.concat(stdin_cases(listed), functional_cases(listed)) if functional else stdin_cases(listed)
+    return df.withColumn("cases", kept).where(F.size("cases") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import estimated_tokens, middle_cut, submit_summary
+from siltworks.functions.text import estimated_tokens, middle_cut, parsed_submission, recovered_submission, submit_summary
 
 CODING_ERRORS = ("wrong_answer", "runtime_error", "syntax_error")
 _TURN = ["turn_index", "raw_output", "parsed_think", "parsed_submit", "parse_status", "obs_for_model", "obs_full", "finish_reason", "recovery_used"]
@@ -95,3 +95,18 @@ def repaired_within(turns: DataFrame, k: int, tasks: DataFrame | None = None) ->
     every = tasks.select("task_id").distinct() if tasks is not None else turns.select("task_id").distinct()
     joined = every.join(per, "task_id", "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
     return joined.agg(F.count_if("passed").alias("passed"), F.count("*").alias("tasks"), F.avg(F.col("passed").cast("double")).alias("rate"))
+
+
+def needs_recovery(turn: Column) -> Column:
+    """A turn that ran out of length before its submission: its recovery output counts instead."""
+    error = parsed_submission(turn["raw_output"])["error_type"]
+    return F.coalesce((turn["finish_reason"] == "length") & error.isin("missing_submit", "incomplete_output"), F.lit(False))
+
+
+def replayed(turns: DataFrame) -> DataFrame:
+    """Recorded turns parsed again: (run_id, turn_index, recovered, submit, status, error_type), recoveries included."""
+    turn = F.struct("raw_output", "finish_reason")
+    again = needs_recovery(turn) & (F.coalesce("recovery_raw_output", F.lit("")) != "")
+    parsed = F.when(again, recovered_submission("recovery_raw_output")).otherwise(parsed_submission(F.coalesce("raw_output", F.lit(""))))
+    p = turns.select("run_id", "turn_index", again.alias("recovered"), parsed.alias("p")).distinct()
+    return p.select("run_id", "turn_index", "recovered", "p.submit", "p.status", "p.error_type")

@@ -790,6 +790,48 @@ def prj19(spark, d):
     return t.where("p.outcome = 'selected'").select("run_id", F.size(kept).alias("kept"), TR.turn_status(F.try_element_at(kept, F.lit(-1))).alias("final_status"))
 
 
+@query("trc5_replay", None)
+def trc5(spark, d):
+    return TR.replayed(table(spark, d, "turns"))
+
+
+@query("prj2_11_training_rows", "SELECT row_id, uid, CASE WHEN pass_count IS NULL THEN NULL ELSE 'pass_count_' || pass_count END AS tier, len(messages)::INT AS messages, coalesce(list_aggregate(required_symbols, 'string_agg', ','), '') AS symbols FROM scored_pool WHERE messages IS NOT NULL")
+def prj11(spark, d):
+    p = table(spark, d, "scored_pool").where("messages is not null")
+    return p.select("row_id", "uid", F.concat(F.lit("pass_count_"), F.col("pass_count").cast("string")).alias("tier"), F.size("messages").alias("messages"), F.coalesce(F.array_join("required_symbols", ","), F.lit("")).alias("symbols"))
+
+
+@query("prj6_7_layout_pairs", "SELECT row_id, trim(problem) AS question, length(" + strip("coalesce(solution, '')") + ")::INT AS answer_chars FROM code_instruct WHERE problem IS NOT NULL")
+def prj7(spark, d):
+    c = table(spark, d, "code_instruct").where("problem is not null")
+    question, answer = A.text_pair(A.detect_layout(c.columns))
+    return c.select("row_id", question.alias("question"), F.length(answer).alias("answer_chars"))
+
+
+@query("prj13_filtered_conversion", None)
+def prj13(spark, d):
+    q = table(spark, d, "eval_questions").where(F.lower(F.trim("difficulty")).isin("easy", "medium"))
+    return A.case_rows(q).select("question_id", F.size("cases").alias("cases"))
+
+
+@query("prj5_stringified", "SELECT row_id, coalesce(to_json(sampling)::VARCHAR, '') <> '' AS has_sampling, coalesce(" + strip("source") + ", '') AS source FROM scored_pool")
+def prj5(spark, d):
+    return table(spark, d, "scored_pool").select("row_id", (A.stringified(F.col("sampling"), False) != "").alias("has_sampling"), A.stringified(F.col("source"), True).alias("source"))
+
+
+@query("flt23_25_clean_failures", None)
+def flt23(spark, d):
+    t = TR.assembled(table(spark, d, "traces"), table(spark, d, "turns")).where(F.size("turns") > 0)
+    failed = F.filter("turns", lambda x: TR.turn_status(x) == "fail")
+    return t.select("run_id", F.size(failed).alias("failed"), F.forall(failed, TR.clean_failure).alias("clean"))
+
+
+@query("mth5_token_lengths", "SELECT row_id, list_sum(list_transform(messages, lambda m: CASE WHEN coalesce(length(m.content), 0) = 0 THEN 0 ELSE greatest(1, (length(m.content) + 3) // 4) END))::INT AS tokens FROM sft_train WHERE messages IS NOT NULL")
+def mth5(spark, d):
+    t = table(spark, d, "sft_train").where("messages is not null")
+    return t.select("row_id", F.aggregate("messages", F.lit(0), lambda s, m: s + X.estimated_tokens(m["content"])).alias("tokens"))
+
+
 # --- sources and streams ------------------------------------------------------------------------------------------
 
 

@@ -67,3 +67,11 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep_shared(spark: SparkSession) -> None:
+    """Remove the tables and files that operators wrote into the shared folder; call it once their results are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in ("tables", "files"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+        path.getFileSystem(conf).delete(path, True)
