@@ -5,7 +5,7 @@ clearly first and its grammar takes the text while the own language shows no sig
 own grammar would take it too. A text that its own grammar refuses is parsed by all others in the order of their rank: the first
 that takes it names the true language, and if none does the text is corrupt.
 
-Defined cases: null and blank texts are no cases; one fence that wraps the whole text is taken off; an unknown or null language
+Defined cases: null and blank texts, and texts of invisible characters only, are no cases; a byte order mark is taken off; one fence that wraps the whole text is taken off; an unknown or null language
 is the one ranked first; repeated rows of a key give one row; very long texts are parsed whole; empty tables give empty results.
 """
 
@@ -22,6 +22,7 @@ from siltworks.functions.vectext import hash_strings, rebatch
 from siltworks.llm.grammars import ALIASES, GRAMMARS, SIGNS, parses, rank_languages
 
 _WRAPPED = re.compile(r"\s*(`{3,}|~{3,})[^\n]*\n(.*?)(?:^[ \t]*)?\1[ \t]*\s*\Z", re.S | re.M)
+_HIDDEN = re.compile("[\\s" + "".join(map(chr, [0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])) + "]+")
 _FENCE_LINE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
 
 
@@ -33,8 +34,8 @@ def unwrap(text: str) -> str:
 
 def diagnose(text: str, lang: str | None) -> tuple[bool, str | None]:
     """(valid, language whose grammar takes the text or None)."""
-    text = unwrap(text)
-    if not text.strip():
+    text = unwrap(text).removeprefix("\ufeff")
+    if not _HIDDEN.sub("", text):
         return True, None
     ranked = rank_languages(text)
     own = (lang or "").strip().lower()
