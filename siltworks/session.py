@@ -49,6 +49,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the workers once a session, so that they need not have it installed."""
+    import io
+    import pathlib
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "siltworks_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(write_shared(spark, "siltworks.zip", packed.getvalue()))
+    context.siltworks_shipped = True
+
+
 def write_shared(spark: SparkSession, name: str, payload: bytes) -> str:
     """Write bytes into the shared folder, under a name of their own, through Hadoop's file system; returns the URI."""
     uri = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}-{name}"
