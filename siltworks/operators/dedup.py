@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
-    """One row a key, the first in the order; a null key is a key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank__", F.row_number().over(w)).where("rank__ = 1").drop("rank__")
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row a key, the first in the order; a null key is a key, null order values come first.
+
+    An aggregate, not a window: each task sends at most one row a key, so a hot key costs no more than any other.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("first__")
+    return df.groupBy(*keys).agg(best).select(*(F.col(c) if c in keys else F.col(f"first__.{c}") for c in df.columns))
 
 
 def keep_last(df: DataFrame, keys: list[str], order: Column | str) -> DataFrame:

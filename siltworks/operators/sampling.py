@@ -55,7 +55,9 @@ def greedy_stratified(df: DataFrame, stratum: str, target: int, key: str, seed:
     """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size__"))
     total = sizes.agg(F.sum("size__").alias("total__"), F.count("*").alias("groups__"))
-    ranked = df.withColumn("k__", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, key), key)) - 1)
+    ranked = df.withColumn("k__", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, key), key)))
+    # no stratum gives more than the target, so the tasks may drop the rest before the shuffle
+    ranked = ranked.where(F.col("k__") <= target).withColumn("k__", F.col("k__") - 1)
     joined = ranked.join(sizes, stratum).crossJoin(F.broadcast(total))  # one row
     ideal = F.col("size__") / F.col("total__") * target
     forced = F.when((F.col("k__") == 0) & (F.col("groups__") <= target), 1).otherwise(0)
@@ -110,7 +112,7 @@ def equal_buckets(df: DataFrame, bucket: str, buckets: list, target: int, key: s
     quota = F.create_map(*(x for i, b in enumerate(buckets) for x in (F.lit(b), F.lit(target // k + (i < target % k)))))
     order = F.create_map(*(x for i, b in enumerate(buckets) for x in (F.lit(b), F.lit(i))))
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy(draw(seed, key), key))
-    ranked = df.where(F.col(bucket).isin(*buckets)).withColumn("rank__", rank).withColumn("own__", F.col("rank__") <= quota[F.col(bucket)])
+    ranked = df.where(F.col(bucket).isin(*buckets)).withColumn("rank__", rank).where(F.col("rank__") <= target).withColumn("own__", F.col("rank__") <= quota[F.col(bucket)])
     # own rows first, then the rest in bucket order: one top-n
     return ranked.orderBy(F.desc("own__"), F.when(F.col("own__"), 0).otherwise(order[F.col(bucket)]), F.when(F.col("own__"), 0).otherwise(F.col("rank__")), key).limit(target).drop("rank__", "own__")
 
@@ -119,7 +121,10 @@ def block_interleave(df: DataFrame, label: str, per_block: dict, key: str, seed:
     """Blocks of so many rows of each label in turn; adds the block number and drops rows beyond the wanted blocks."""
     size = F.create_map(*(x for kv in per_block.items() for x in map(F.lit, kv)))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, key), key))
-    out = df.where(F.col(label).isin(*per_block)).withColumn("rank__", rank).withColumn("block", F.floor((F.col("rank__") - 1) / size[F.col(label)]).cast("int"))
+    out = df.where(F.col(label).isin(*per_block)).withColumn("rank__", rank)
+    if blocks is not None:
+        out = out.where(F.col("rank__") <= blocks * max(per_block.values()))
+    out = out.withColumn("block", F.floor((F.col("rank__") - 1) / size[F.col(label)]).cast("int"))
     return (out if blocks is None else out.where(F.col("block") < blocks)).withColumnRenamed("rank__", "place_in_label")
 
 
