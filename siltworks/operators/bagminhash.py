@@ -10,6 +10,7 @@ next point lies above all registers of its row, so a row costs about as many poi
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,19 +131,20 @@ def signatures(records: DataFrame, shingle: int, bands: int, rows_per_band: int,
 _WORD = re.compile(r"[^\W_]+")
 
 
-def overlap(a: str, b: str, shingle: int, weighted: bool) -> float:
-    """The exact (weighted) Jaccard index of the word shingles of two texts; 0 if neither has any."""
-    from collections import Counter
+def bag(text: str, shingle: int, weighted: bool) -> Counter | set:
+    w = _WORD.findall(text.lower())
+    grams = zip(*(w[k:] for k in range(shingle)))
+    return Counter(grams) if weighted else set(grams)
 
-    def grams(text: str) -> Counter:
-        w = _WORD.findall(text.lower())
-        return Counter(zip(*(w[k:] for k in range(shingle))))
 
-    x, y = grams(a), grams(b)
-    if not weighted:
-        x, y = Counter(dict.fromkeys(x, 1)), Counter(dict.fromkeys(y, 1))
-    union = (x | y).total()
-    return (x & y).total() / union if union else 0.0
+def overlap(x: Counter | set, y: Counter | set) -> float:
+    """The exact (weighted) Jaccard index of two bags of shingles; 0 if neither has any."""
+    if isinstance(x, set):
+        both = len(x & y)
+        union = len(x) + len(y) - both
+    else:
+        both, union = (x & y).total(), (x | y).total()
+    return both / union if union else 0.0
 
 
 class NearDuplicates:
@@ -194,8 +196,16 @@ class NearDuplicates:
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rebatch(batches):
-                rows = batch.to_pydict()
-                score = np.array([overlap(a, b, shingle, weighted) for a, b in zip(rows["text_a"], rows["text_b"])], np.float64)
+                bags: dict[int, Counter | set] = {}  # a class stands in several pairs of a batch
+
+                def of(key: int, text: str) -> Counter | set:
+                    found = bags.get(key)
+                    if found is None:
+                        found = bags[key] = bag(text, shingle, weighted)
+                    return found
+
+                keys_a, keys_b, texts_a, texts_b = (batch.column(k).to_pylist() for k in (1, 2, 3, 4))
+                score = np.array([overlap(of(a, x), of(b, y)) for a, b, x, y in zip(keys_a, keys_b, texts_a, texts_b)], np.float64)
                 kept = pa.array(np.flatnonzero(score >= threshold))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(kept) for k in range(3)), pa.array(score).take(kept)], names=["src", "key_a", "key_b", "similarity"])
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltworks.functions.vectext import distinct_per_row
-from siltworks.operators.bagminhash import NearDuplicates, bagminhash, overlap
+from siltworks.operators.bagminhash import NearDuplicates, bag, bagminhash, overlap
 from siltworks.operators.components import connected_components
 
 
@@ -111,9 +111,9 @@ def test_empty_table(spark):
 
 
 def test_overlap_counts_repeats():
-    assert overlap("a b c a b c", "a b c", 3, weighted=False) == pytest.approx(1 / 3)
-    assert overlap("a b c a b c", "a b c", 3, weighted=True) == pytest.approx(1 / 4)
-    assert overlap("", "", 3, True) == 0
+    for weighted, share in ((False, 1 / 3), (True, 1 / 4)):
+        assert overlap(bag("a b c a b c", 3, weighted), bag("a b c", 3, weighted)) == pytest.approx(share)
+        assert overlap(bag("", 3, weighted), bag("", 3, weighted)) == 0
 
 
 def test_components_against_union_find(spark):
