@@ -730,7 +730,7 @@ def dtm1(spark, d):
 
 @query("dtm3_epoch_seconds", "SELECT run_id, max(date_trunc('day', to_timestamp(created_at) AT TIME ZONE 'UTC'))::DATE AS day FROM traces WHERE created_at IS NOT NULL GROUP BY 1")
 def dtm3(spark, d):
-    return table(spark, d, "traces").where("created_at is not null").groupBy("run_id").agg(F.max(F.timestamp_seconds("created_at").cast("date")).alias("day"))
+    return table(spark, d, "traces").where("created_at is not null").groupBy("run_id").agg(F.max(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86400).cast("int"))).alias("day"))
 
 
 @query("mth1_2_shares", "SELECT source, n, round(n / nullif(sum(n) OVER (), 0), 6) AS share, floor(n / sum(n) OVER () * 100)::BIGINT AS floor_quota FROM (SELECT source, count(*) AS n FROM scored_pool GROUP BY 1)")

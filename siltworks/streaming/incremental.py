@@ -51,7 +51,8 @@ def append_new(stream: DataFrame, log_path: str, key: str, checkpoint: str, tran
 
 def event_windows(events: DataFrame, size: str = "1 day", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Extension: counts and sums per tumbling window and type; works on streams, where the watermark bounds the state."""
-    at = events.withColumn("at__", F.col(ts).cast("timestamp"))
+    zoneless = dict(events.dtypes)[ts] == "timestamp_ntz" and not events.isStreaming  # days then begin at midnight in any session
+    at = events.withColumn("at__", F.col(ts) if zoneless else F.col(ts).cast("timestamp"))
     marked = at.withWatermark("at__", delay) if events.isStreaming else at
     out = marked.groupBy(F.window("at__", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
