@@ -10,6 +10,7 @@ from siltworks.functions import text as X
 from siltworks.operators import dedup as D
 from siltworks.operators import sampling as S
 from siltworks.operators.filters import Rule, apply_rules
+from siltworks.session import materialise
 
 
 def instruction_mix(rows: DataFrame, question: str, answer: str, key: str, target: int, longest: int = 12_000, shortest: int = 50, seed: int = 42) -> DataFrame:
@@ -41,7 +42,7 @@ def candidate_pool(first: DataFrame, second: DataFrame, known: DataFrame, first_
 def curated(docs: DataFrame, known: DataFrame, target: int, seed: int = 42) -> DataFrame:
     """The flagship: length rules, fingerprint dedup, decontamination, a stratified sample by language and kind."""
     rules = [Rule("no_text", F.coalesce(F.length("text") == 0, F.lit(True))), Rule("short", F.length("text") < 200), Rule("long", F.length("text") > 12_000)]
-    kept = apply_rules(docs, rules).where("charged_to = 'kept'").withColumn("fp", X.fingerprint("text"))
-    once = D.remove_known(D.keep_first(kept, ["fp"], ["doc_id"]), known, ["fp"])
-    marked, _ = S.strata(once.select("doc_id", "lang", "kind", "source", "fp"), ["lang", "kind"])
-    return S.greedy_stratified(marked, "stratum", target, "doc_id", seed).select("doc_id", "source", "stratum", "fp")
+    marked, _ = S.strata(docs, ["lang", "kind"])
+    kept = apply_rules(marked, rules).where("charged_to = 'kept'").select("doc_id", "source", "stratum", X.fingerprint("text").alias("fp"))
+    once = materialise(D.remove_known(D.keep_first(kept, ["fp"], ["doc_id"]), known, ["fp"]), "once")  # counted and ranked
+    return S.greedy_stratified(once, "stratum", target, "doc_id", seed).select("doc_id", "source", "stratum", "fp")
