@@ -128,6 +128,12 @@ class CalibratedSample:
             ["no rows", "too few rows", "raised to its floor", "takes what others lack"],
             "met",
         )
-        t = t[[*self.categories, "target_share", "min_rows", "available", "target_rows", "drawn", "drawn_share", "gap_rows", "reason"]]
-        t = t.astype({"available": "int64", "drawn": "int64", "min_rows": "int64"})
-        return self.rows.sparkSession.createDataFrame(t)
+        kinds = {c: self.rows.schema[c].dataType.simpleString() for c in self.categories}
+        columns = {"target_share": ("double", float), "min_rows": ("long", int), "available": ("long", int), "target_rows": ("double", float), "drawn": ("long", int), "drawn_share": ("double", float), "gap_rows": ("double", float), "reason": ("string", str)}
+        t["min_rows"] = t["min_rows"].fillna(0)
+        out = []
+        for row in t[[*self.categories, *columns]].itertuples(index=False):
+            own = [None if v is None or v != v else int(v) if "int" in k else v for v, k in zip(row, kinds.values())]
+            out.append((*own, *(f(v) for v, (_, f) in zip(row[len(own) :], columns.values()))))
+        schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), *(f"{c} {k}" for c, (k, _) in columns.items())])
+        return self.rows.sparkSession.createDataFrame(out, schema)
