@@ -265,6 +265,12 @@ def flt19(spark, d):
     return table(spark, d, "scored_pool").where(F.coalesce(F.col("pass_rate") >= 0.5, F.lit(False)) & (F.lower(F.coalesce("source", F.lit(""))) == "kodgarden")).select("row_id")
 
 
+# the turns of each run once, with what failed, how many failures lead and whether all of them are clean
+_TURNS_SQL = """WITH o AS (SELECT DISTINCT ON (run_id, turn_index) * FROM turns ORDER BY run_id, turn_index, logged_at DESC),
+c AS (SELECT run_id, turn_index, CASE WHEN coalesce(parsed_submit, '') = '' THEN 'fail' ELSE coalesce(nullif(json_extract_string(obs_full, '$.status'), ''), 'fail') END AS status, CASE WHEN coalesce(parsed_submit, '') = '' THEN 'format_error' ELSE json_extract_string(obs_full, '$.error_type') END AS error, parse_status, parsed_submit, finish_reason, recovery_used FROM o),
+r AS (SELECT run_id, count(*) FILTER (WHERE status = 'fail') AS fails, coalesce(min(CASE WHEN status <> 'fail' THEN nth END) - 1, count(*)) AS lead, bool_and(CASE WHEN status = 'fail' THEN coalesce(parse_status = 'ok' AND parsed_submit <> '' AND coalesce(finish_reason, '') <> 'length' AND NOT coalesce(recovery_used, FALSE) AND error IN ('wrong_answer', 'runtime_error', 'syntax_error'), FALSE) ELSE TRUE END) AS clean FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY turn_index) AS nth FROM c) GROUP BY 1)
+"""
+
 _CASES = "from_json({0}, '[{{\"input\":\"VARCHAR\",\"output\":\"VARCHAR\",\"testtype\":\"VARCHAR\"}}]')"
 
 
@@ -686,7 +692,13 @@ def txt22(spark, d):
 _TESTS = """(VALUES (1, '["assert f(1)", " assert g()", "x = 1; assert x"]'), (2, 'nonsense'), (3, NULL), (4, '{"a": 1}'), (5, '[]'))"""
 
 
-@query("arr1_test_lists", None)
+_LISTED = "CASE WHEN json_valid(s) AND json_type(s) = 'ARRAY' THEN from_json(s, '[\"VARCHAR\"]') ELSE [] END"
+
+
+@query(
+    "arr1_test_lists",
+    f"SELECT id, coalesce(list_aggregate(list_filter(list_transform(l, lambda t: {strip('t')}), lambda t: starts_with(t, 'assert')), 'string_agg', '|'), '') AS starting, coalesce(list_aggregate(list_transform(list_filter(l, lambda t: contains(t, 'assert')), lambda t: {strip('t')}), 'string_agg', '|'), '') AS containing FROM (SELECT id, {_LISTED} AS l FROM {_TESTS} v(id, s))",
+)
 def arr1(spark, d):
     v = spark.sql(f"SELECT * FROM {_TESTS} AS v(id, s)")
     return v.select("id", F.array_join(A.asserts_at_start("s"), "|").alias("starting"), F.array_join(A.asserts_anywhere("s"), "|").alias("containing"))
@@ -759,19 +771,19 @@ def mth4(spark, d):
 # --- traces -------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "trc1_repair_prefixes",
-    """WITH o AS (SELECT DISTINCT ON (run_id, turn_index) * FROM turns ORDER BY run_id, turn_index, logged_at DESC),
-c AS (SELECT run_id, turn_index, CASE WHEN coalesce(parsed_submit, '') = '' THEN 'fail' ELSE coalesce(nullif(json_extract_string(obs_full, '$.status'), ''), 'fail') END AS status, CASE WHEN coalesce(parsed_submit, '') = '' THEN 'format_error' ELSE json_extract_string(obs_full, '$.error_type') END AS error, parse_status, parsed_submit, finish_reason, recovery_used FROM o),
-r AS (SELECT run_id, count(*) FILTER (WHERE status = 'fail') AS fails, coalesce(min(CASE WHEN status <> 'fail' THEN nth END) - 1, count(*)) AS lead, bool_and(CASE WHEN status = 'fail' THEN coalesce(parse_status = 'ok' AND parsed_submit <> '' AND coalesce(finish_reason, '') <> 'length' AND NOT coalesce(recovery_used, FALSE) AND error IN ('wrong_answer', 'runtime_error', 'syntax_error'), FALSE) ELSE TRUE END) AS clean FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY turn_index) AS nth FROM c) GROUP BY 1)
-SELECT run_id, CASE WHEN lead < fails OR fails < 2 THEN 'skipped_pass_or_too_few_failures' WHEN fails > 3 THEN 'skipped_too_many_failures' WHEN NOT clean THEN 'skipped_unclean' ELSE 'selected' END AS outcome, greatest(1, fails - 1)::INT AS keep FROM r""",
-)
+@query("trc1_repair_prefixes", _TURNS_SQL + """SELECT run_id, CASE WHEN lead < fails OR fails < 2 THEN 'skipped_pass_or_too_few_failures' WHEN fails > 3 THEN 'skipped_too_many_failures' WHEN NOT clean THEN 'skipped_unclean' ELSE 'selected' END AS outcome, greatest(1, fails - 1)::INT AS keep FROM r""")
 def trc1(spark, d):
     t = TR.assembled(table(spark, d, "traces"), table(spark, d, "turns")).where(F.size("turns") > 0)
     return t.select("run_id", TR.prefix_choice(F.col("turns")).alias("p")).select("run_id", "p.outcome", "p.keep")
 
 
-@query("trc2_prj20_export", None)
+@query(
+    "trc2_prj20_export",
+    """WITH o AS (SELECT DISTINCT ON (run_id, turn_index) * FROM turns ORDER BY run_id, turn_index, logged_at DESC),
+p AS (SELECT run_id, count(*) AS turns, string_agg(nullif(concat_ws(chr(10), CASE WHEN parsed_think <> '' THEN '<think>' || parsed_think || '</think>' END, CASE WHEN parsed_submit <> '' THEN '<submit>' || parsed_submit || '</submit>' END, CASE WHEN obs_for_model <> '' THEN '<obs>' || obs_for_model || '</obs>' END), ''), chr(10) ORDER BY turn_index) AS parts FROM o GROUP BY 1),
+t AS (SELECT DISTINCT ON (run_id) run_id, task.task_id AS task_id, model, task.prompt AS prompt FROM traces WHERE final_status = 'pass' ORDER BY run_id)
+SELECT t.run_id, t.task_id, t.model, coalesce(p.turns, 0)::INT AS turns, concat_ws(chr(10), '<input>' || coalesce(t.prompt, '') || '</input>', p.parts) AS text FROM t LEFT JOIN p USING (run_id)""",
+)
 def trc2(spark, d):
     t = TR.assembled(table(spark, d, "traces").where("final_status = 'pass'"), table(spark, d, "turns"))
     return t.select("run_id", F.col("task.task_id").alias("task_id"), "model", F.size("turns").alias("turns"), TR.tagged_text(F.col("task.prompt"), F.col("turns")).alias("text"))
@@ -783,7 +795,7 @@ def trc4(spark, d):
     return t.select("run_id", TR.final_status(F.col("turns")).alias("final_status"))
 
 
-@query("prj19_trace_slice", None)
+@query("prj19_trace_slice", _TURNS_SQL + "SELECT run_id, greatest(1, fails - 1)::INT AS kept, 'fail' AS final_status FROM r WHERE lead >= fails AND fails BETWEEN 2 AND 3 AND clean")
 def prj19(spark, d):
     t = TR.assembled(table(spark, d, "traces"), table(spark, d, "turns")).where(F.size("turns") > 0).withColumn("p", TR.prefix_choice(F.col("turns")))
     kept = TR.sliced(F.col("turns"), F.col("p.keep"))
@@ -808,7 +820,7 @@ def prj7(spark, d):
     return c.select("row_id", question.alias("question"), F.length(answer).alias("answer_chars"))
 
 
-@query("prj13_filtered_conversion", None)
+@query("prj13_filtered_conversion", f"SELECT question_id, n AS cases FROM (SELECT question_id, len(list_filter(coalesce({_CASES.format('public_test_cases')}, []), lambda x: lower(coalesce(nullif(x.testtype, ''), 'stdin')) IN ('stdin', 'stdio', 'standard_input')))::INT AS n FROM eval_questions WHERE lower(trim(difficulty)) IN ('easy', 'medium')) WHERE n > 0")
 def prj13(spark, d):
     q = table(spark, d, "eval_questions").where(F.lower(F.trim("difficulty")).isin("easy", "medium"))
     return A.case_rows(q).select("question_id", F.size("cases").alias("cases"))
@@ -819,7 +831,7 @@ def prj5(spark, d):
     return table(spark, d, "scored_pool").select("row_id", (A.stringified(F.col("sampling"), False) != "").alias("has_sampling"), A.stringified(F.col("source"), True).alias("source"))
 
 
-@query("flt23_25_clean_failures", None)
+@query("flt23_25_clean_failures", _TURNS_SQL + "SELECT run_id, fails::INT AS failed, clean FROM r")
 def flt23(spark, d):
     t = TR.assembled(table(spark, d, "traces"), table(spark, d, "turns")).where(F.size("turns") > 0)
     failed = F.filter("turns", lambda x: TR.turn_status(x) == "fail")
