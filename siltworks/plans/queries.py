@@ -640,7 +640,19 @@ def txt10(spark, d):
     return s.join(table(spark, d, "func_tasks").select("task_id", "prompt"), "task_id").select("sample_id", X.assembled_solution("raw_output", "prompt").alias("solution"))
 
 
-@query("txt13_parsed_submission", None)
+@query(
+    "txt13_parsed_submission",
+    """WITH t AS (SELECT DISTINCT run_id, turn_index, raw_output AS x FROM turns WHERE raw_output IS NOT NULL),
+a AS (SELECT *, regexp_matches(x, '(?is)<think>.*?</think>') AS tagged, regexp_matches(x, '(?i)</think>') AS bare FROM t),
+b AS (SELECT *, CASE WHEN tagged THEN regexp_extract(x, '(?is)^.*?<think>(.*?)</think>', 1) WHEN bare THEN regexp_extract(x, '(?is)^(.*?)</think>', 1) ELSE '' END AS th, CASE WHEN tagged THEN regexp_replace(x, '(?is)^.*?<think>.*?</think>', '') WHEN bare THEN regexp_replace(x, '(?is)^.*?</think>', '') ELSE x END AS rest FROM a),
+c AS (SELECT *, regexp_matches(rest, '(?is)<submit>.*?</submit>') AS has, regexp_matches(regexp_replace(rest, '(?is)^.*?<submit>.*?</submit>', ''), '(?i)</?obs>') AS seen, {raw} AS raw, {think} AS think FROM b),
+d AS (SELECT *, regexp_matches(raw, '(?is)^```(?:python|py)?\\s*\\n(.*?)\\n```$') AS fence FROM c),
+e AS (SELECT *, CASE WHEN NOT has THEN '' WHEN fence THEN {inner} ELSE raw END AS submit FROM d),
+f AS (SELECT *, CASE WHEN NOT has AND regexp_matches(rest, '(?i)<submit>') AND NOT regexp_matches(rest, '(?i)</submit>') THEN 'incomplete_output' WHEN NOT has THEN 'missing_submit' WHEN seen THEN 'model_generated_obs' WHEN submit = '' THEN 'empty_submit' END AS error_type FROM e)
+SELECT run_id, turn_index, CASE WHEN has THEN think ELSE '' END AS think, submit, CASE WHEN error_type IS NULL THEN 'ok' ELSE 'format_error' END AS status, error_type, concat_ws(',', CASE WHEN has AND fence THEN 'stripped_markdown_fence' END, CASE WHEN has AND seen THEN 'model output contained obs tag after submit' END, CASE WHEN has AND NOT seen AND regexp_matches(think, '(?i)</?obs>') THEN 'think_mentioned_obs_tag' END) AS warnings FROM f""".format(
+        raw=strip("regexp_extract(rest, '(?is)<submit>(.*?)</submit>', 1)"), think=strip("th"), inner=strip("regexp_extract(raw, '(?is)^```(?:python|py)?\\s*\\n(.*?)\\n```$', 1)")
+    ),
+)
 def txt13(spark, d):
     t = table(spark, d, "turns").where("raw_output is not null").select("run_id", "turn_index", X.parsed_submission("raw_output").alias("p")).distinct()
     return t.select("run_id", "turn_index", "p.think", "p.submit", "p.status", "p.error_type", F.array_join("p.warnings", ",").alias("warnings"))
