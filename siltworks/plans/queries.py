@@ -619,12 +619,26 @@ def txt5(spark, d):
     return table(spark, d, "eval_samples").where("raw_output is not null").select("sample_id", X.fenced_code("raw_output").alias("code")).distinct()
 
 
-@query("txt6_lenient_code", None)
+_FENCED, _PLAIN = r"'(?is)```python\s*(.*?)```'", r"'(?s)```\s*(.*?)```'"
+_SIGN, _LINE = r"'\b(def|class)\s+\w+|\bimport\s+\S+|\bfrom\s+\S+\s+import\b'", r"'(?ms)^((?:from\s+\S+\s+import\s+|import\s+\S+|class\s+\w+|def\s+\w+).*)'"
+
+
+@query(
+    "txt6_lenient_code",
+    f"SELECT DISTINCT sample_id, nullif(CASE WHEN regexp_matches(t, {_FENCED}) THEN {strip(f'regexp_extract(t, {_FENCED}, 1)')} WHEN regexp_matches(t, {_PLAIN}) AND regexp_matches(regexp_extract(t, {_PLAIN}, 1), {_SIGN}) THEN {strip(f'regexp_extract(t, {_PLAIN}, 1)')} WHEN regexp_matches(t, {_LINE}) THEN {strip(f'regexp_extract(t, {_LINE}, 1)')} END, '') AS code FROM (SELECT sample_id, {_TAIL} t FROM eval_samples WHERE raw_output IS NOT NULL)",
+)
 def txt6(spark, d):
     return table(spark, d, "eval_samples").where("raw_output is not null").select("sample_id", X.lenient_code("raw_output").alias("code")).distinct()
 
 
-@query("txt8_last_fence", None)
+_BARE = strip("CASE WHEN contains(raw_output, '</think>') THEN regexp_replace(raw_output, '(?s)<think>.*?</think>', '', 'g') ELSE regexp_replace(raw_output, '(?s)<think>.*', '') END")
+_ANY_FENCE, _START = r"'(?is)```(?:python|py)?\s*\n?(.*?)(?:```|$)'", r"'(?ms)^[ \t]*((?:from\s+\S+\s+import\s+\S+|import\s+\S+|(?:class|def)\s+[A-Za-z_]\w*|if\s+__name__\s*==).*)'"
+
+
+@query(
+    "txt8_last_fence",
+    f"SELECT DISTINCT sample_id, CASE WHEN len(blocks) > 0 THEN replace(blocks[-1], chr(13) || chr(10), chr(10)) WHEN regexp_matches(t, {_START}) THEN {strip(f'regexp_extract(t, {_START}, 1)')} ELSE t END AS code FROM (SELECT sample_id, t, list_filter(list_transform(regexp_extract_all(t, {_ANY_FENCE}, 1), lambda s: {strip('s')}), lambda s: s <> '') AS blocks FROM (SELECT sample_id, {_BARE} AS t FROM eval_samples WHERE raw_output IS NOT NULL))",
+)
 def txt8(spark, d):
     return table(spark, d, "eval_samples").where("raw_output is not null").select("sample_id", X.last_fence("raw_output").alias("code")).distinct()
 
