@@ -3,7 +3,7 @@
 Sizes are summed per cell of source and topic. Iterative proportional fitting rakes the cells to the topics' shares of the pool and
 to the sources' target weights, the sources last, so that their shares are exact; a cell's weight never passes the repeats that its
 source allows. A row is then used floor(weight) times and once more with the rest as probability, drawn by the pivotal method along
-the sizes, so that rows that duel are of like size.
+the sizes, so that rows that duel are of like size; the cells of a source duel with each other.
 
 The total is the largest at which every source that has rows meets its weight within its repeats, unless `total` is given; then a
 source that cannot meet its weight gives all it may and the others share the rest by their weights.
@@ -99,13 +99,15 @@ class SourceMix:
         spark, cells = self.rows.sparkSession, self.cells
         whole = np.floor(cells["weight"].to_numpy(float) + 1e-9)
         part = np.clip(cells["weight"].to_numpy(float) - whole, 0, 1)
-        # whole numbers of extra rows a cell, so that no draw is left over
-        part = np.round(part * cells["rows"]) / cells["rows"].clip(lower=1)
-        listed = [(str(a), str(b), int(w), float(p), i) for i, (a, b, w, p) in enumerate(zip(cells["mix_source"], cells["mix_topic"], whole, part))]
+        # the cells of a source are drawn together, so a source is out by no more than part of a row
+        number = {x: i for i, x in enumerate(self.sources["mix_source"])}
+        listed = [(str(a), str(b), int(w), float(p), number[a]) for a, b, w, p in zip(cells["mix_source"], cells["mix_topic"], whole, part)]
         table = F.broadcast(spark.createDataFrame(listed, "mix_source string, mix_topic string, mix_whole int, mix_part double, mix_cell int"))  # one row a cell
         joined = self.rows.where("mix_size > 0").join(table, ["mix_source", "mix_topic"])
         units = joined.where("mix_part > 0").select(F.col("mix_cell").alias("category"), F.col(self.key).alias("key"), F.col("mix_part").alias("prob"), F.col("mix_size").alias("place"))
-        sizes = {i: int(n) for i, (n, p) in enumerate(zip(cells["rows"], part)) if p > 0}
+        sizes: dict[int, int] = {}
+        for (_, _, _, p, i), n in zip(listed, cells["rows"]):
+            sizes[i] = sizes.get(i, 0) + (int(n) if p > 0 else 0)
         extra = pivotal_sample(units, sizes, self.seed).select(F.col("key").alias(self.key)).withColumn("mix_extra", F.lit(1))
         used = joined.join(extra, self.key, "left").withColumn("repeats", (F.col("mix_whole") + F.coalesce("mix_extra", F.lit(0))).cast("int"))
         return used.where("repeats > 0").drop("mix_whole", "mix_part", "mix_cell", "mix_extra", "mix_topic")
@@ -114,11 +116,11 @@ class SourceMix:
         """Per source: target and actual share of all characters, what is there and used, the gap, and why."""
         mixed = self.mix().groupBy("mix_source").agg(F.sum(F.col("mix_size") * F.col("repeats")).alias("used"), F.max("repeats").alias("most"))
         used = {r.mix_source: (r.used, r.most) for r in mixed.collect()}  # one row a source
-        all_used = sum(u for u, _ in used.values()) or 1.0
+        all_used, all_wanted = sum(u for u, _ in used.values()) or 1.0, self.sources["wanted"].sum() or 1.0
         out = []
         for r in self.sources.itertuples(index=False):
             u, most = used.get(r.mix_source, (0.0, 0))
-            share = u / all_used
-            reason = "no rows" if r.rows == 0 else "repeats used up" if r.target_weight - share > 0.005 else "met" if abs(share - r.target_weight) <= 0.005 else "share of others"
+            share, planned = u / all_used, r.wanted / all_wanted
+            reason = "no rows" if r.rows == 0 else "repeats used up" if planned < r.target_weight - 0.005 else "takes what others lack" if planned > r.target_weight + 0.005 else "met"
             out.append((r.mix_source, float(r.target_weight), int(r.max_repeats), int(r.rows), float(r.chars), float(u), float(share), float(r.target_weight - share), int(most), reason))
         return self.rows.sparkSession.createDataFrame(out, "source string, target_weight double, max_repeats int, rows long, chars double, used_chars double, share double, gap double, most_repeats int, reason string")
