@@ -95,8 +95,6 @@ _ASKED = re.compile(r"\b(" + "|".join(sorted((re.escape(n) for n in NAMES if len
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 400:
-        return False
     return not _HIDDEN.sub("", _FENCE.sub("", _TAG.sub("", answer)))
 
 
@@ -120,7 +118,7 @@ _TEMPLATES = [(_units(t), True) for t in REFUSALS] + [(_units(t), False) for t i
 
 def is_refusal(answer: str, least: float = 0.75) -> bool:
     rest = _TAG.sub(" ", _THOUGHT.sub(" ", answer)).strip()
-    if not rest or len(rest) > 600 or "`" in rest or "=" in rest:
+    if not rest:
         return False
     proper = False
     for m in _SENTENCE.finditer(rest):
@@ -143,9 +141,11 @@ def is_refusal(answer: str, least: float = 0.75) -> bool:
 def is_copy(question: str, answer: str, covered: float = 0.9, frame: int = 12) -> bool:
     """Nearly the whole question comes back, after a frame of few words at most, and nothing follows it."""
     q, a = _units(question), _units(_TAG.sub(" ", _THOUGHT.sub(" ", answer)))
-    if len(q) < 3 or len(a) < covered * len(q) or len(a) > 6 * len(q) + frame:
+    if len(q) < 3 or len(a) < covered * len(q):
         return False
     grams = set(zip(q, q[1:], q[2:]))
+    if tuple(a[-3:]) not in grams:
+        return False
     taken = [False] * len(a)
     mine = set()
     for i in range(len(a) - 2):
@@ -153,7 +153,7 @@ def is_copy(question: str, answer: str, covered: float = 0.9, frame: int = 12) -
         if g in grams:
             taken[i] = taken[i + 1] = taken[i + 2] = True
             mine.add(g)
-    if not taken[-1] or len(mine) < covered * len(grams):
+    if len(mine) < covered * len(grams):
         return False
     first = taken.index(True)
     loose = sum(1 for t in taken[first:] if not t)

@@ -63,3 +63,10 @@ def test_tables(spark, model):
     assert rates[("messages", "empty")] == 3
     nothing = stored_pairs(sft.limit(0), samples.limit(0), tasks.limit(0))
     assert defective_answers(nothing, model).count() == 0
+
+
+def test_long_answers_are_read_whole():
+    assert is_empty(" " * 500 + "​" * 500 + "<think></think>" * 50) and not is_empty(" " * 500 + "0")
+    assert is_refusal("I can't assist with that. " * 40) and is_refusal("I cannot help you with `that`.")
+    assert not is_refusal("I can't assist with that. " * 40 + "The loop ends at the first open crate and returns its number.")
+    assert is_copy("Sort the odd rows", "Sort the odd rows\n" * 12) and not is_copy("Sort the odd rows", "Sort the odd rows\n" * 12 + "Use a heap")
