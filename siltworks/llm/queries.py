@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.llm import pool_queries
 from siltworks.session import table
 
 
@@ -99,7 +100,8 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_rates, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)}
+    own = (p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_rates, p7_ids, p8_found, p8_spans, p8_items, p9_found, p9_documents, p9_segments)
+    return {f.__name__: f for f in own + pool_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
