@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltworks.functions.text import fingerprint
-from siltworks.plans import core_problems, pipelines
+from siltworks.plans import pipelines
 from siltworks.plans import queries as inventory
 from siltworks.session import table
 
@@ -18,7 +18,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return inventory.QUERIES | {"pipeline_curated": flagship} | {f.__name__: f for f in core_problems.QUERIES}
+    return inventory.QUERIES | {"pipeline_curated": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
