@@ -2,16 +2,18 @@
 
 Only the syntax counts: names and types are not looked up, and operator precedence plays no part, as an expression is a chain
 of operands and operators whatever binds tighter. Every recogniser has a lexer of one pattern; comments and white space are
-skipped, a character that starts no token is an error. Very deep nesting counts as not parsed.
+skipped, a character that starts no token is an error. Delimiters are matched before the descent, whose depth then follows the
+nesting of the text without a limit of its own. Python is compiled, not only parsed, as a `return` outside a function is refused late;
+where its compiler runs out of its own stack, the text counts as valid if its tokens are and its delimiters match.
 """
 
 from __future__ import annotations
 
-import ast
+import io
 import re
 import sys
+import tokenize
 import warnings
-from functools import lru_cache
 
 _ID = r"(?:[^\W\d]|\$)(?:\w|\$)*"
 _DQ, _SQ = r'"(?:[^"\\\n]|\\.|\\\n)*"', r"'(?:[^'\\\n]|\\.|\\\n)*'"
@@ -41,12 +43,15 @@ class Parser:
     values: frozenset = frozenset()  # reserved words that are operands
     split_angle = True
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, most: int | None = None):
+        """With `most`, only so many tokens are cut and no end stands behind them: a rule that looks beyond raises IndexError."""
         self.kinds: list[str] = []
         self.toks: list[str] = []
         self.line: list[bool] = []  # a line end stands before
+        self.most = most or len(text) + 1
         self.lex(text)
-        for _ in range(3):
+        self.whole = len(self.toks) < self.most
+        for _ in range(3 if self.whole else 0):
             self.kinds.append("eof")
             self.toks.append("")
             self.line.append(True)
@@ -55,7 +60,7 @@ class Parser:
     def lex(self, text: str) -> None:
         match, at, end, fresh = self.lexer.match, 0, len(text), False
         kinds, toks, line = self.kinds, self.toks, self.line
-        while at < end:
+        while at < end and len(toks) < self.most:
             m = match(text, at)
             if not m or m.end() == at:
                 raise Bad(f"no token at {at}")
@@ -247,7 +252,7 @@ class JavaScript(Parser):
     def lex(self, text: str) -> None:
         match, at, end, fresh = self.lexer.match, 0, len(text), False
         kinds, toks, line = self.kinds, self.toks, self.line
-        while at < end:
+        while at < end and len(toks) < self.most:
             m = match(text, at)
             if not m:
                 raise Bad(f"no token at {at}")
@@ -1778,6 +1783,8 @@ class Cpp(CLike):
                     return None
                 if self.toks[self.i + 1] == "{" or "..." in self.toks:
                     return self.balanced()
+                if not self.whole:
+                    raise IndexError
                 raise Bad("in parentheses")
             if t == "[":
                 self.balanced()
@@ -2834,47 +2841,81 @@ def _python(text: str) -> bool:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            ast.parse(text)
+            compile(text, "text", "exec", dont_inherit=True)
             return True
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
+        except (SyntaxError, ValueError):
             return False
+        except (RecursionError, MemoryError):
+            try:
+                return _matched([t.string for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.OP])
+            except (SyntaxError, tokenize.TokenError):
+                return False
+
+
+def _matched(toks: list[str]) -> bool:
+    """Whether all round, square and curly delimiters are closed in turn."""
+    closing, stack = {"(": ")", "[": "]", "{": "}"}, []
+    for t in toks:
+        if t in closing:
+            stack.append(closing[t])
+        elif t in (")", "]", "}") and (not stack or stack.pop() != t):
+            return False
+    return not stack
 
 
 GRAMMARS = {"python": None, "javascript": JavaScript, "java": Java, "cpp": Cpp, "go": Go, "rust": Rust}
+OUTSETS = (5, 20)
 #: Fixed spellings of the languages' names.
 ALIASES = {"py": "python", "python3": "python", "js": "javascript", "ecmascript": "javascript", "c++": "cpp", "cxx": "cpp", "cc": "cpp", "golang": "go", "rs": "rust"}
 
 
-@lru_cache(maxsize=1)
-def _deep() -> None:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-
+def parses(text: str, lang: str, likely: bool = False) -> bool:
+    """Whether the text is valid syntax of the language; an unknown language raises KeyError.
 
-def parses(text: str, lang: str) -> bool:
-    """Whether the text is valid syntax of the language; an unknown language raises KeyError."""
+    Unless it is likely to be, its first tokens are tried alone: what fails among them, without a look beyond, fails as a whole.
+    """
     kind = GRAMMARS[lang]
     if kind is None:
         return _python(text)
-    _deep()
+    usual = sys.getrecursionlimit()
     try:
-        kind(text).run()
+        for most in () if likely else OUTSETS:
+            try:
+                kind(text, most).run()
+            except (IndexError, RecursionError):
+                pass  # undecided
+        parser = kind(text)
+        if not _matched([t if k == "op" else "" for k, t in zip(parser.kinds, parser.toks)]):
+            return False
+        # frames of Python functions lie on the heap, so the descent may be as deep as the text
+        sys.setrecursionlimit(max(usual, 5_000 + 60 * len(parser.toks)))
+        parser.run()
         return True
-    except (Bad, RecursionError, IndexError):
+    except (Bad, IndexError):
         return False
-
-
-#: Fixed evidence for the ranking: words and marks typical of one language.
-SIGNS = {
-    "python": ("def ", "elif ", "self.", "None", "import ", "print(", "    return", "range(", "__name__"),
-    "javascript": ("function ", "let ", "const ", "===", "console.log", "=> ", "module.exports", "var "),
-    "java": ("public ", "static ", "class ", "import java", "System.out", "String", "new ", "private "),
-    "cpp": ("#include", "std::", "int main", "->", "cout", "const std", "template", "using namespace"),
-    "go": ("package ", "func ", ":= ", "fmt.", "range ", "import \"", "[]int", "for _, "),
-    "rust": ("fn ", "let mut ", "pub ", "println!", "impl ", "-> i64", "&[", ".iter()", "in 0.."),
+    finally:
+        sys.setrecursionlimit(usual)
+
+
+#: Fixed words and marks of each language, for the ranking.
+TOKENS = {
+    "python": "def elif None self from import in is lambda pass and or not True False print range yield with as except raise assert del nonlocal async await len __name__ __init__ ** : #".split(),
+    "javascript": "function let const var === !== => console typeof undefined null new this async await export require module of catch throw delete ; { } ${ //".split(),
+    "java": "public private protected static void class new String System extends implements throws final import package int boolean long null this @Override List ArrayList ; { } //".split(),
+    "cpp": "#include std :: cout endl template typename namespace using int const auto long -> void nullptr << >> struct size_t vector main delete ; { } & //".split(),
+    "go": "package func := fmt range chan defer go map import nil type struct interface var int string error <- make append { } //".split(),
+    "rust": "fn let mut pub impl -> :: match use println struct enum trait i32 i64 u8 usize str Vec Some None Ok Err self & => ' ; { } //".split(),
 }
+_COMMON_TOKEN = re.compile(r"[@#]?[^\W\d]\w*|===|!==|\*\*|[:=<-]=|[=-]>|<-|::|<<|>>|//|\$\{|[{};:&'#]")
+_WEIGHT = {t: 1 / sum(t in own for own in TOKENS.values()) for own in TOKENS.values() for t in own}
+_SETS = {lang: frozenset(own) for lang, own in TOKENS.items()}
+
 
+def rank_languages(text: str) -> list[tuple[str, float]]:
+    """All languages with their scores, the best first: the different tokens of the text that are the language's, a token of n languages counting 1 / n.
 
-def rank_languages(text: str) -> list[str]:
-    """All languages, the one with most different signs in the text first; ties in the fixed order above."""
-    found = {lang: sum(s in text for s in signs) for lang, signs in SIGNS.items()}
-    return sorted(SIGNS, key=lambda lang: -found[lang])
+    Ties are broken by the fixed order above.
+    """
+    there = set(_COMMON_TOKEN.findall(text))
+    score = {lang: sum(_WEIGHT[t] for t in there & own) for lang, own in _SETS.items()}
+    return sorted(score.items(), key=lambda x: -x[1])

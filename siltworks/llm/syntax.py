@@ -1,12 +1,12 @@
 """Source files that do not parse (problem 3).
 
-Every text is parsed by the grammar of its language; languages are ranked by the tokens of the text. If another language ranks
-clearly first and its grammar takes the text while the own language shows no sign, the file has the wrong extension even if its
-own grammar would take it too. A text that its own grammar refuses is parsed by all others in the order of their rank: the first
-that takes it names the true language, and if none does the text is corrupt.
+The languages are ranked by the tokens of the text, and every text is parsed by all grammars in that order. The grammars that take it
+tell what it is: none, then the text is corrupt; only foreign ones, then it has the wrong extension and the best ranked of them names
+its true language; its own among them, then it is valid, unless a foreign one that takes it too outranks its own by far, whose tokens
+the text lacks.
 
 Defined cases: null and blank texts, and texts of invisible characters only, are no cases; a byte order mark is taken off; one fence that wraps the whole text is taken off; an unknown or null language
-is the one ranked first; repeated rows of a key give one row; very long texts are parsed whole; empty tables give empty results.
+is the best ranked one; repeated rows of a key give one row; very long texts are parsed whole; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.vectext import hash_strings, rebatch
-from siltworks.llm.grammars import ALIASES, GRAMMARS, SIGNS, parses, rank_languages
+from siltworks.llm.grammars import ALIASES, GRAMMARS, parses, rank_languages
 
 _WRAPPED = re.compile(r"\s*(`{3,}|~{3,})[^\n]*\n(.*?)(?:^[ \t]*)?\1[ \t]*\s*\Z", re.S | re.M)
 _HIDDEN = re.compile("[\\s" + "".join(map(chr, [0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])) + "]+")
@@ -32,30 +32,30 @@ def unwrap(text: str) -> str:
     return m[2] if m and not _FENCE_LINE.search(m[2]) else text
 
 
-def diagnose(text: str, lang: str | None) -> tuple[bool, str | None]:
-    """(valid, language whose grammar takes the text or None)."""
+def diagnose(text: str, lang: str | None, clear: float = 1.0, little: float = 1.0) -> tuple[bool, str | None, int]:
+    """(valid, language whose grammar takes the text or None, number of grammars that take it)."""
     text = unwrap(text).removeprefix("\ufeff")
     if not _HIDDEN.sub("", text):
-        return True, None
+        return True, None, 0
     ranked = rank_languages(text)
+    score = dict(ranked)
     own = (lang or "").strip().lower()
     own = ALIASES.get(own, own)
     if own not in GRAMMARS:
-        own = ranked[0]
-    if parses(text, own):
-        if ranked[0] != own:
-            first, mine = (sum(s in text for s in SIGNS[x]) for x in (ranked[0], own))
-            if mine == 0 and first >= 2 and parses(text, ranked[0]):
-                return False, ranked[0]
-        return True, own
-    return False, next((x for x in ranked if x != own and parses(text, x)), None)
+        own = ranked[0][0]
+    takers = [x for x, _ in ranked if parses(text, x, x == own)]
+    if own not in takers:
+        return False, takers[0] if takers else None, len(takers)
+    if takers[0] != own and score[own] <= little and score[takers[0]] >= score[own] + clear:
+        return False, takers[0], len(takers)
+    return True, own, len(takers)
 
 
 def check_syntax(files: DataFrame, remember: int = 200_000) -> DataFrame:
-    """files: (src, id, lang, text); returns (src, id, valid boolean, parsed_as string) of all rows with a visible text."""
+    """files: (src, id, lang, text); returns (src, id, valid boolean, parsed_as string, grammars int) of all rows with a visible text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str | None, int], tuple[bool, str | None]] = {}
+        known: dict[tuple[str | None, int], tuple[bool, str | None, int]] = {}
         for batch in rebatch(batches):
             langs, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             kept = [i for i, t in enumerate(texts) if t and not t.isspace()]
@@ -69,10 +69,11 @@ def check_syntax(files: DataFrame, remember: int = 200_000) -> DataFrame:
                 found.append(known[key])
             take = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array([v for v, _ in found], pa.bool_()), pa.array([p for _, p in found], pa.string())], names=["src", "id", "valid", "parsed_as"]
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32())],
+                names=["src", "id", "valid", "parsed_as", "grammars"],
             )
 
-    return files.select("src", "id", "lang", "text").mapInArrow(run, "src string, id string, valid boolean, parsed_as string")
+    return files.select("src", "id", "lang", "text").mapInArrow(run, "src string, id string, valid boolean, parsed_as string, grammars int")
 
 
 def stored_files(turns: DataFrame, code_instruct: DataFrame) -> DataFrame:

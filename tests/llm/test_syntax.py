@@ -54,12 +54,29 @@ def test_deep_nesting_and_odd_input():
 
 def test_diagnosis():
     go = "package main\n\nfunc f() {\n\tx := 1\n}\n"
-    assert diagnose(go, "java") == (False, "go")
-    assert diagnose("def f(:", "python") == (False, None)
+    assert diagnose(go, "java") == (False, "go", 1)
+    assert diagnose("def f(:", "python") == (False, None, 0)
     js = "function f(a) {\n  let d = 6;\n  return d;\n}\n"
-    assert parses(js, "cpp") and diagnose(js, "cpp") == (False, "javascript")
-    assert diagnose(js, "JS") == (True, "javascript") and diagnose(js, None) == (True, "javascript")
-    assert rank_languages(go)[0] == "go"
+    assert parses(js, "cpp") and diagnose(js, "cpp") == (False, "javascript", 2)
+    assert diagnose(js, "JS") == (True, "javascript", 2) and diagnose(js, None) == (True, "javascript", 2)
+    assert diagnose("x = 1", "python")[2] > 1
+    assert rank_languages(go)[0][0] == "go"
+
+
+def test_python_is_compiled():
+    assert not any(parses(t, "python") for t in ("return 1", "break", "def f():\n    continue", "x = yield", "def f():\n    nonlocal x", "await x"))
+    assert parses("x = " + "1 + " * 40_000 + "1", "python") and not parses("x = " + "1 + " * 40_000 + "1)", "python")
+
+
+@pytest.mark.parametrize("lang,head,tail", [("javascript", "x = ", ";"), ("java", "class A { int x = ", "; }"), ("go", "package a\nvar x = ", "\n"), ("rust", "fn f() { let x = ", "; }"), ("cpp", "int x = ", ";")])
+def test_nesting_has_no_limit(lang, head, tail):
+    text = head + "(" * 3000 + "1" + ")" * 3000 + tail
+    assert parses(text, lang) and not parses(text + ")", lang) and not parses(text.replace("1", "1 1"), lang)
+
+
+@pytest.mark.parametrize("lang,text", [(k, t) for k, v in (VALID | INVALID).items() for t in v])
+def test_first_tokens_decide_nothing_else(lang, text):
+    assert all(parses(text, x) == parses(text, x, likely=True) for x in VALID)
 
 
 def test_unwrap():
