@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.vectext import distinct_per_row, hash_strings, mix64, rebatch, row_set_keys, shingle_hashes, word_hashes
 from siltworks.llm.components import connected_components
+from siltworks.llm.semijoin import members_of
 from siltworks.session import materialise
 
 _TO_UNIT = 1.0 / (1 << 53)
@@ -237,27 +238,3 @@ class NearDuplicates:
         grouped = self.classes().join(per_class, "set_key").select("src", "id", "group_id", "links")
         every = self.records.select("src", "id").distinct().join(grouped, ["src", "id"], "left")
         return every.select("src", "id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def members_of(rows: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """Semi join on (src, id) that first drops rows by a bit table of fixed size, so that few texts are shuffled.
-
-    The table has `bits` bits however many ids there are (1 MB by default); a full table lets all rows through.
-    """
-    spark = rows.sparkSession
-    slot = F.pmod(F.xxhash64("src", "id"), F.lit(bits))
-    packed = wanted.select(slot.alias("slot")).distinct().groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    words = np.zeros(bits // 64, np.uint64)
-    found = packed.toPandas()  # at most bits / 64 rows
-    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool)))
-
-    marked = rows.withColumn("slot__", slot)
-    kept = marked.mapInArrow(run, marked.schema).drop("slot__")
-    return kept.join(wanted.distinct(), ["src", "id"], "left_semi")

@@ -11,17 +11,21 @@ from siltworks.llm import pool_queries
 from siltworks.session import table
 
 
+#: Providers that stop at the closing submit tag, as TESTDATA.md says.
+TAGLESS = ("skygate",)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltworks.llm.truncation import cut_outputs
 
-    found = cut_outputs(*(table(spark, sf_dir, t) for t in ("turns", "traces", "generations")))
+    found = cut_outputs(*(table(spark, sf_dir, t) for t in ("turns", "traces", "generations")), tagless=TAGLESS)
     return found.where("cut").select(F.col("src").alias("src_table"), F.col("id").alias("record_id"))
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltworks.llm.truncation import cut_rates
 
-    return cut_rates(*(table(spark, sf_dir, t) for t in ("turns", "traces", "generations")))
+    return cut_rates(*(table(spark, sf_dir, t) for t in ("turns", "traces", "generations")), tagless=TAGLESS)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
