@@ -4,7 +4,7 @@ Each answer has at most one defect, looked for in this order:
 
 * empty: null, nothing visible but empty tags or an empty fence, or no assistant message after the user's last one;
 * refusal: every sentence, thoughts aside, aligns with a template of refusals or of the courtesies around them (longest common
-  subsequence of words, of characters for zh and ja), and one at least with a refusal proper;
+  subsequence of words, of characters for zh and ja; refusals of other wording by classes of words), and one at least with a refusal proper;
 * copy: shingles of three words mark what the answer takes from the question; nearly all of the question comes back, nothing
   follows it, and what stands before is a short frame;
 * truncated: the answer breaks off, by the rules of siltworks.llm.truncation over all answers;
@@ -29,19 +29,30 @@ from siltworks.llm.langid import LANGS, NAMES, Pieces
 from siltworks.llm.truncation import CUT, judged
 from siltworks.session import materialise
 
+#: Fixed classes of words: all words of a class count as one in the alignment with a template.
+CLASSES = {
+    "#sorry": "sorry apologies apologize apologise regret unfortunately regrettably afraid désolé désolée pardon malheureusement siento perdón disculpa disculpe lamento lamentablemente desafortunadamente leider entschuldigung bedaure verzeihung desculpe desculpa infelizmente извините простите сожалению",
+    "#not": "cant cannot wont unable refuse refusing decline declining impossible dont couldnt shouldnt wouldnt isnt arent not never no unwilling incapable ne pas peux puis nicht kann keine não нет не нельзя нет",
+    "#do": "help assist answer provide write respond fulfil fulfill complete do doing comply support give produce create generate solve share offer continue proceed engage discuss perform handle deliver supply aider répondre ayudar ayudarte ayudarle responder helfen beantworten antworten ajudar помочь ответить отвечать выполнить",
+    "#it": "this that it request question task prompt problem one topic matter query demand inquiry assignment exercise cette demande question esta esto petición pregunta solicitud diese dieser anfrage frage este esse isso pedido pergunta этот этим это запрос запросом вопрос",
+    "#rule": "guidelines guideline policy policies rules permitted allowed allow permit appropriate comfortable outside scope safety restrictions terms",
+    "#me": "i im id ill ive me my we our model ai assistant je me yo ich mir eu я мне",
+}
 #: Fixed texts: refusals proper.
 REFUSALS = (
     "I'm sorry, but I can't help with this request.",
     "I can't assist with that.",
     "I cannot help you with that.",
     "I cannot fulfil this.",
-    "I cannot fulfill this request.",
     "I am unable to answer this question.",
     "Sorry, I am not able to write that for you.",
     "Unfortunately I won't be able to provide code for this task.",
     "I will not provide a solution to this.",
+    "I won't do that.",
     "I must decline this one.",
     "I have to decline this request.",
+    "I refuse to write this code.",
+    "I refuse to do this.",
     "That is something I have to refuse.",
     "I'd rather not assist here.",
     "I would prefer not to answer this.",
@@ -104,19 +115,49 @@ def _units(text: str) -> list[str]:
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of bits at a time."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
 
 
-_TEMPLATES = [(_units(t), True) for t in REFUSALS] + [(_units(t), False) for t in COURTESIES]
+_CLASS_OF = {w: c for c, words in CLASSES.items() for w in words.split()}
 
 
-def is_refusal(answer: str, least: float = 0.75) -> bool:
+def _classes(text: str) -> list[str]:
+    """The words with their classes in place of those that have one; a class that stands twice in a row counts once."""
+    out: list[str] = []
+    for u in _units(text):
+        c = _CLASS_OF.get(u, u)
+        if not out or c != out[-1] or c[0] != "#":
+            out.append(c)
+    return out
+
+
+def _templates(refusals: tuple[str, ...], courtesies: tuple[str, ...]) -> list[tuple[list[str], list[str], bool]]:
+    return [(_units(t), _classes(t), core) for texts, core in ((refusals, True), (courtesies, False)) for t in texts]
+
+
+_TEMPLATES = _templates(REFUSALS, COURTESIES)
+
+
+def _likeness(a: list[str], b: list[str], least: float) -> float:
+    """Twice the common subsequence over both lengths; 0 where the lengths alone keep it under `least`."""
+    both = len(a) + len(b)
+    return 2 * _common(a, b) / both if both and 2 * min(len(a), len(b)) >= least * both else 0.0
+
+
+def is_refusal(answer: str, least: float = 0.75, templates: list[tuple[list[str], list[str], bool]] = _TEMPLATES) -> bool:
+    """Whether every sentence aligns with a template, by its words or by their classes, and one at least with a refusal proper.
+
+    By classes only a sentence counts that has a `#not` with a `#do` or a `#rule`, and speaks of the speaker or of the request.
+    """
     rest = _TAG.sub(" ", _THOUGHT.sub(" ", answer)).strip()
     if not rest:
         return False
@@ -125,15 +166,13 @@ def is_refusal(answer: str, least: float = 0.75) -> bool:
         sentence = _units(m[0])
         if not sentence:
             continue
-        best, core = 0.0, False
-        for template, is_core in _TEMPLATES:
-            if 2 * min(len(template), len(sentence)) < least * (len(template) + len(sentence)):
-                continue
-            score = 2 * _common(sentence, template) / (len(sentence) + len(template))
-            if score > best:
-                best, core = score, is_core
+        best, core = max(((_likeness(sentence, t, least), c) for t, _, c in templates), default=(0.0, False))
         if best < least:
-            return False
+            own = _classes(m[0])
+            if "#not" in own and ("#do" in own or "#rule" in own) and ("#me" in own or "#it" in own):
+                best, core = max(((_likeness(own, t, least), c) for _, t, c in templates if c), default=(0.0, False))
+            if best < least:
+                return False
         proper |= core
     return proper
 
@@ -144,20 +183,17 @@ def is_copy(question: str, answer: str, covered: float = 0.9, frame: int = 12) -
     if len(q) < 3 or len(a) < covered * len(q):
         return False
     grams = set(zip(q, q[1:], q[2:]))
-    if tuple(a[-3:]) not in grams:
+    own = list(zip(a, a[1:], a[2:]))
+    if own[-1] not in grams:
         return False
-    taken = [False] * len(a)
-    mine = set()
-    for i in range(len(a) - 2):
-        g = (a[i], a[i + 1], a[i + 2])
-        if g in grams:
-            taken[i] = taken[i + 1] = taken[i + 2] = True
-            mine.add(g)
-    if len(mine) < covered * len(grams):
+    met = [i for i, g in enumerate(own) if g in grams]
+    if met[0] > frame or len({own[i] for i in met}) < covered * len(grams):
         return False
-    first = taken.index(True)
-    loose = sum(1 for t in taken[first:] if not t)
-    return first <= frame and loose <= max(2, 0.02 * len(a)) and _common(q, a[first : first + 2 * len(q)]) >= covered * len(q)
+    taken = [False] * len(a)
+    for i in met:
+        taken[i] = taken[i + 1] = taken[i + 2] = True
+    loose = len(a) - met[0] - sum(taken)
+    return loose <= max(2, 0.02 * len(a)) and _common(q, a[met[0] : met[0] + 2 * len(q)]) >= covered * len(q)
 
 
 def screen(pairs: DataFrame, model: np.ndarray, min_words: int = 8, min_cjk: int = 10, margin: float = 15.0) -> DataFrame:

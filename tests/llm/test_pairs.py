@@ -1,7 +1,7 @@
 import pytest
 
 from siltworks.llm.langid import fit_languages
-from siltworks.llm.pairs import defect_rates, defective_answers, is_copy, is_empty, is_refusal, stored_pairs
+from siltworks.llm.pairs import COURTESIES, REFUSALS, _common, _templates, defect_rates, defective_answers, is_copy, is_empty, is_refusal, stored_pairs
 from siltworks.session import table
 
 Q = "Write a function that takes the scores of a choir and will encode the stale ones in one pass. Two teams share the pump room: one will mark even jobs while the other is counting at the main hall."
@@ -70,3 +70,28 @@ def test_long_answers_are_read_whole():
     assert is_refusal("I can't assist with that. " * 40) and is_refusal("I cannot help you with `that`.")
     assert not is_refusal("I can't assist with that. " * 40 + "The loop ends at the first open crate and returns its number.")
     assert is_copy("Sort the odd rows", "Sort the odd rows\n" * 12) and not is_copy("Sort the odd rows", "Sort the odd rows\n" * 12 + "Use a heap")
+
+
+def test_refusals_of_other_words_align_by_classes():
+    for text in ("I refuse to write this code.", "I won't be doing that.", "I am not going to answer this.", "I'm afraid I can't do that.", "We cannot comply with this request."):
+        assert is_refusal(text), text
+    for text in ("No.", "It cannot be solved.", "This loop does not do it.", "You cannot do this in O(1).", "No, it is not possible.", "I do not use recursion here.", "We do not need this.", "That does not solve it.", "I did not sort the list."):
+        assert not is_refusal(text), text
+
+
+def test_held_out_refusals():
+    # without a third of the templates at a time
+    found = 0
+    for fold in range(3):
+        kept = _templates(tuple(t for i, t in enumerate(REFUSALS) if i % 3 != fold), COURTESIES)
+        found += sum(is_refusal(t, templates=kept) for i, t in enumerate(REFUSALS) if i % 3 == fold)
+    assert found >= 20  # of 37: wordings of which no kept template has the like are missed
+
+
+@pytest.mark.parametrize("a,b", [("abcde", "xbcye"), ("", "abc"), ("aaab", "aab"), ("abcbdab", "bdcaba"), ("x" * 100, "x" * 70 + "y")])
+def test_common_subsequence(a, b):
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            rows[i][j] = rows[i - 1][j - 1] + 1 if x == y else max(rows[i - 1][j], rows[i][j - 1])
+    assert _common(list(a), list(b)) == rows[-1][-1]
