@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.vectext import rebatch
 from siltworks.llm.transducer import Transducer, compile_transducer
-from siltworks.session import write_shared
+from siltworks.session import materialise, write_shared
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed values of the public pre-tokenisation pattern: contractions, then letters, numbers, other marks and spaces.
@@ -168,14 +168,16 @@ def count_pretokens(docs: DataFrame, text: str = "text", flush: int = 200_000) -
 
 def build_lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", lexicon_size: int = 65_536, max_word_bytes: int = 48) -> str:
     """Compile the most frequent pre-tokens; returns the URI of the transducer in the shared folder."""
-    frequent = (
-        count_pretokens(docs, text)
-        .where((F.octet_length("word") <= max_word_bytes) & (F.octet_length("word") > 0) & (F.col("n") > 1))
-        .orderBy(F.desc("n"), "word")
-        .limit(lexicon_size)
-        .select("word")
-        .collect()
-    )
+    counted = materialise(count_pretokens(docs, text).where((F.octet_length("word") <= max_word_bytes) & (F.octet_length("word") > 0) & (F.col("n") > 1)), "words")
+    # how many words have which count, by steps of an eighth of a power of two: the counts of all words never meet in one place
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = {r["step"]: r["words"] for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}  # at most 512 rows
+    low, taken = max(steps, default=0), 0
+    for low in sorted(steps, reverse=True):
+        taken += steps[low]
+        if taken >= lexicon_size:
+            break
+    frequent = counted.where(step >= low).orderBy(F.desc("n"), "word").limit(lexicon_size).select("word").collect()
     ranks = load_ranks(vocabulary)
     entries = {(w := row.word.encode()): merge_exactly(w, ranks) for row in frequent}
     return write_shared(docs.sparkSession, "lexicon.npy", compile_transducer(entries))
@@ -191,8 +193,11 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", v
     """(key, ids array<int>) for every row of docs."""
     spark = docs.sparkSession
     uri = build_lexicon(docs, vocabulary, text, lexicon_size)
-    spark.sparkContext.addFile(uri)
-    name = uri.rsplit("/", 1)[1]
+    with open(vocabulary, "rb") as f:  # on the driver; the workers get it with the lexicon
+        ranks_uri = write_shared(spark, "ranks.txt", f.read())
+    for file in (uri, ranks_uri):
+        spark.sparkContext.addFile(file)
+    name, ranks_name = (x.rsplit("/", 1)[1] for x in (uri, ranks_uri))
     opened: dict[str, Transducer] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +216,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", v
             lengths[hit] = lexicon.starts[rows[hit] + 1] - starts[hit]
             pool, at = [lexicon.ids], len(lexicon.ids)
             if not hit.all():
-                ranks = load_ranks(vocabulary)
+                ranks = load_ranks(SparkFiles.get(ranks_name))
                 for i in np.flatnonzero(~hit):
                     ids = merge_exactly(words[i], ranks)
                     starts[i], lengths[i] = at, len(ids)

@@ -1,7 +1,7 @@
 """Languages of documents and of their segments (problem 9): multinomial naive Bayes over hashed character n-grams.
 
-The model is fitted on at most `sample_rows` labelled documents (the smallest hashes of the key, so the bound holds at any size):
-each task counts the hashed uni- and trigrams of the prose per label, the counts are summed per bin, and a second fit uses only
+The model is fitted on at most `sample_rows` labelled documents (those with the smallest hashes of the key: ranges of hashes are counted and
+only rows of the ranges that are wanted are sorted, so the bound holds at any size): each task counts the hashed uni- and trigrams of the prose per label, the counts are summed per bin, and a second fit uses only
 the paragraphs that the first model gives the language of their label, which removes wrong labels and foreign paragraphs. The
 log-probability matrix (bins x 8) is broadcast; a batch is scored as one flat array of code points, n-gram rows gathered and
 summed per sentence. Sentences vote within their paragraph; runs of sentences of one language are the segments.
@@ -203,14 +203,35 @@ def _count_grams(sample: DataFrame, model: np.ndarray | None) -> np.ndarray:
     return counts
 
 
-def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 10_000) -> np.ndarray:
+def _single_label(docs: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, one): the language of each row whose label names one language only; every label is read, whatever its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(1).dictionary_encode()
+            named = [label_languages(x) for x in coded.dictionary.to_pylist()]
+            one = pa.array([x[0] if len(x) == 1 else None for x in named], pa.string())
+            found = one.take(coded.indices)
+            kept = found.is_valid()
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), found.filter(kept)], names=["key", "one"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label")).where("key is not null and label is not null").mapInArrow(run, f"key {kind}, one string")
+
+
+def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 10_000, ranges: int = 1 << 16) -> np.ndarray:
     """The log-probability matrix, fitted on at most `sample_rows` rows whose label names one language."""
-    labels = {r[0]: x[0] for r in docs.select(label).where(F.length(label) <= 40).distinct().orderBy(label).limit(5_000).collect() if len(x := label_languages(r[0])) == 1}
-    if not labels:
+    labelled = _single_label(docs, key, label).withColumn("hash", F.xxhash64("key")).withColumn("range", F.pmod(F.shiftright("hash", 24), F.lit(ranges)).cast("int"))
+    counts = {r["range"]: r["n"] for r in labelled.groupBy("range").agg(F.count("*").alias("n")).collect()}  # at most `ranges` rows
+    if not counts:
         return np.zeros((BINS, len(LANGS)), np.float32)
-    one = F.create_map(*(F.lit(v) for kv in labels.items() for v in kv))[F.col(label)]
-    picked = docs.select(F.col(key).alias("key"), one.alias("one")).where("one is not null").orderBy(F.xxhash64("key"), "key").limit(sample_rows)
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked.dropDuplicates(["key"])), "key").select("one", "text")
+    last, before = -1, 0
+    for last in sorted(counts):
+        if before + counts[last] >= sample_rows:
+            break
+        before += counts[last]
+    picked = labelled.where(F.col("range") <= last).orderBy("range", "hash", "key").limit(sample_rows)
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked.select("key", "one").dropDuplicates(["key"])), "key").select("one", "text")
     first = _log_model(_count_grams(sample, None))
     return _log_model(_count_grams(sample, first))
 
@@ -225,7 +246,6 @@ def language_segments(docs: DataFrame, model: np.ndarray, key: str = "doc_id", t
     wide = np.array([x in ("zh", "ja") for x in LANGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str | None, list[str]] = {}
         for batch in rebatch(batches, 8 << 20):
             pieces = Pieces(batch.column(1).to_pylist())
             lang, gap = sentence_languages(pieces, shared.value)
@@ -244,12 +264,8 @@ def language_segments(docs: DataFrame, model: np.ndarray, key: str = "doc_id", t
             sure = 1 / (1 + np.exp(-np.minimum(np.add.reduceat(gap[known], head) / temperature, 50)))
             first_of_row = np.maximum.accumulate(np.where(np.concatenate([[True], row[head][1:] != row[head][:-1]]), np.arange(len(head)), 0))
             labels = batch.column(2).to_pylist()
-            for x in labels:
-                if x not in names:
-                    if len(names) > 10_000:
-                        names.clear()
-                    names[x] = label_languages(x)
-            named = [LANGS[c] in (names.get(labels[r]) if labels[r] in names else label_languages(labels[r])) for c, r in zip(code[head].tolist(), row[head].tolist())]
+            names = {x: label_languages(x) for x in set(labels)}
+            named = [LANGS[c] in names[labels[r]] for c, r in zip(code[head].tolist(), row[head].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(row[head])),
@@ -275,9 +291,16 @@ def unnamed_languages(docs: DataFrame, model: np.ndarray, key: str = "doc_id", *
 
 
 def document_languages(docs: DataFrame, model: np.ndarray, key: str = "doc_id", **options) -> DataFrame:
-    """(key, lang, confidence, languages): the language with most text, its share-weighted confidence, and the number of languages of prose."""
-    s = language_segments(docs, model, key=key, **options).where("prose")
+    """(key, lang, confidence, languages): one row for every key, with the language of most text, its confidence and the number of languages of prose.
+
+    The confidence is that of the language's segments, weighted by their sizes and by the language's share. A document without a segment of
+    prose is judged by all its segments with half the confidence and 0 languages; one without any segment has a null language and confidence.
+    """
+    s = language_segments(docs, model, key=key, **options)
     size = F.col("end") - F.col("start")
-    per = s.groupBy(key, "lang").agg(F.sum(size).alias("size"), (F.sum(size * F.col("confidence")) / F.sum(size)).alias("sure"))
-    top = per.groupBy(key).agg(F.max_by(F.struct("lang", "size", "sure"), F.struct("size", "lang")).alias("top"), F.sum("size").alias("all"), F.count("*").cast("int").alias("languages"))
-    return top.select(key, F.col("top.lang").alias("lang"), (F.col("top.sure") * F.col("top.size") / F.col("all")).alias("confidence"), "languages")
+    per = s.groupBy(key, "prose", "lang").agg(F.sum(size).alias("size"), (F.sum(size * F.col("confidence")) / F.sum(size)).alias("sure"))
+    top = per.groupBy(key, "prose").agg(F.max_by(F.struct("lang", "size", "sure"), F.struct("size", "lang")).alias("top"), F.sum("size").alias("all"), F.count("*").cast("int").alias("languages"))
+    told = F.struct(F.col("top.lang").alias("lang"), (F.col("top.sure") * F.col("top.size") / F.col("all") * F.when(F.col("prose"), 1.0).otherwise(0.5)).alias("confidence"), F.when(F.col("prose"), F.col("languages")).otherwise(0).alias("languages"))
+    best = top.groupBy(key).agg(F.max_by(told, F.col("prose")).alias("told"))
+    every = docs.select(key).where(F.col(key).isNotNull()).distinct()
+    return every.join(best, key, "left").select(key, "told.lang", "told.confidence", F.coalesce("told.languages", F.lit(0)).alias("languages"))

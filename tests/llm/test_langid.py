@@ -86,3 +86,18 @@ def test_pieces_cover_the_text():
         at = np.flatnonzero(p.row == i)
         assert p.start[at[0]] == 0 and p.end[at[-1]] == len(t or "")
     assert len(LANGS) == 8
+
+
+def test_every_document_has_a_row(spark, model):
+    rows = [(1, TEXT["de"], "de"), (2, None, None), (3, "  ", None), (4, "```python\nx = 1\n```", "en"), (5, "Der kleine Knoten liegt noch im Lager.", None), (5, "Der kleine Knoten liegt noch im Lager.", None)]
+    got = {r.doc_id: r for r in document_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    assert len(got) == 5 and got[1].languages == 1
+    assert got[2].lang is None and got[3].confidence is None and got[4].lang is None
+    assert got[5].lang == "de" and got[5].confidence < 0.51 and got[5].languages == 0
+
+
+def test_long_and_many_labels(spark):
+    rows = [(i, TEXT["de"] + f" {i}", "german" + " " * 60 + f"({i})") for i in range(6000)] + [(9000 + i, TEXT["en"] + f" {i}", "en") for i in range(50)]
+    fitted = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=500)
+    df = spark.createDataFrame([(1, TEXT["de"], "en")], "doc_id long, text string, lang string")
+    assert [r.lang for r in unnamed_languages(df, fitted).collect()] == ["de"]
