@@ -160,7 +160,8 @@ class NearDuplicates:
     registers; those left are verified on their texts.
     """
 
-    def __init__(self, records: DataFrame, threshold: float = 0.8, shingle: int = 5, weighted: bool = True, bands: int = 32, rows_per_band: int = 4):
+    def __init__(self, records: DataFrame, threshold: float = 0.8, shingle: int = 5, weighted: bool = True, bands: int = 32, rows_per_band: int = 4, hot: int = 1000):
+        self.hot = hot
         self.records = records.select(F.col("src").cast("string"), F.col("id").cast("long"), F.col("text").cast("string")).where("id is not null")
         self.threshold, self.shingle, self.weighted = threshold, shingle, weighted
         self.m = bands * rows_per_band
@@ -171,16 +172,36 @@ class NearDuplicates:
         return self.signed.select("src", "id", "set_key").distinct()
 
     def candidates(self) -> DataFrame:
-        """(key_a, key_b): classes that share a band and agree in enough bits."""
+        """(key_a, key_b): classes that share a band and agree in enough bits.
+
+        A band of more than `hot` classes is cut into blocks of its classes, and every pair of blocks is a task's work of its own.
+        """
         m, t = self.m, self.threshold
         agree = (1 + t) / 2
         least = int(m * agree - 3.5 * (m * agree * (1 - agree)) ** 0.5)
-        banded = self.signed.select(F.explode("bands").alias("band"), "set_key", "bits0", "bits1").repartition("band")
-        banded = banded.dropDuplicates(["band", "set_key"])
-        a, b = banded.alias("a"), banded.alias("b")
-        differing = F.bit_count(F.col("a.bits0").bitwiseXOR(F.col("b.bits0"))) + F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1")))
-        joined = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.set_key") < F.col("b.set_key")) & (differing <= m - least))
-        return joined.select(F.col("a.set_key").alias("key_a"), F.col("b.set_key").alias("key_b")).distinct()
+        every = self.signed.select(F.explode("bands").alias("band"), "set_key", "bits0", "bits1")
+        # a row a task and class at most: the counts are of classes or a little more
+        hot = materialise(every.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select("band", F.ceil(F.col("n") / self.hot).cast("int").alias("blocks")), "hot")
+        crowded = not hot.isEmpty()
+        banded = every.join(hot, "band", "left_anti") if crowded else every
+        banded = banded.repartition("band").dropDuplicates(["band", "set_key"])
+
+        def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+            a, b = a.alias("a"), b.alias("b")
+            differing = F.bit_count(F.col("a.bits0").bitwiseXOR(F.col("b.bits0"))) + F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1")))
+            same = F.lit(True)
+            for c in on:
+                same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+            joined = a.join(b, same & (F.col("a.set_key") < F.col("b.set_key")) & (differing <= m - least))
+            return joined.select(F.col("a.set_key").alias("key_a"), F.col("b.set_key").alias("key_b"))
+
+        found = met(banded, banded, ["band"])
+        if crowded:
+            blocked = every.join(hot, "band").dropDuplicates(["band", "set_key"]).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+            cells = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+            cells = cells.repartition("band", "low", "high")
+            found = found.unionByName(met(cells, cells, ["band", "low", "high"]))
+        return found.distinct()
 
     def links(self) -> DataFrame:
         """(src, key_a, key_b, similarity): pairs of different classes at or over the threshold, key_a < key_b."""

@@ -3,13 +3,14 @@
 The pool is reduced to one moment per category (its row count) by a grouped count. The sample is the tilting of the pool that
 comes nearest to it in relative entropy and meets the target moments: a row of category c is in with probability
 exp(lambda_c + mu), where the multipliers solve the dual by Newton steps. Categories whose probability would pass 1 are fixed at all
-their rows, those below their floor at the floor, and the rest is solved again. Expected counts are rounded to whole rows by the
-largest remainders, and rows are drawn with the resulting probabilities by the pivotal method.
+their rows, those below their floor at the floor, and the rest is solved again. Rows are drawn with the tilted probabilities by the
+pivotal method: each category gets its expected number of rows, rounded up or down, and the whole sample its size.
 
 Defined cases: categories with null parts are matched like any value; rows of categories without a target are not drawn; targets
 for empty categories are reported with no rows; rows with a null key are left out and rows repeated with a key count once; an empty
 pool gives an empty sample and a full report; repeated targets of a category are summed; extra columns pass through, but one named
-`probability` is replaced. Targets are few: more than `max_categories` raise an error.
+`probability` is replaced. The targets are a stated list: the dual is solved on the driver with a few numbers for each target; rows and
+their counts stay distributed.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.pivotal import pivotal_sample
+from siltworks.operators.dedup import keep_first
 
 
 def tilt(base: np.ndarray, target: np.ndarray, steps: int = 50, tolerance: float = 1e-10) -> np.ndarray:
@@ -41,8 +43,8 @@ def tilt(base: np.ndarray, target: np.ndarray, steps: int = 50, tolerance: float
     return count
 
 
-def plan(available: np.ndarray, share: np.ndarray, floor: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(whole counts, expected counts) per category: shares of `size`, floors and ceilings kept, what is lost given to the others."""
+def plan(available: np.ndarray, share: np.ndarray, floor: np.ndarray, size: int) -> np.ndarray:
+    """Expected counts per category: shares of `size`, floors and ceilings kept, what is lost given to the others."""
     floor = np.minimum(floor, available)
     fixed = np.full(len(share), np.nan)
     fixed[available == 0] = 0.0
@@ -63,19 +65,14 @@ def plan(available: np.ndarray, share: np.ndarray, floor: np.ndarray, size: int)
             fixed[under] = floor[under]
         else:
             break
-    whole = np.floor(expected + 1e-9).astype(int)
-    short = int(round(expected.sum())) - int(whole.sum())
-    order = np.argsort(-(expected - whole), kind="stable")
-    for k in [k for k in order if whole[k] < available[k] and share[k] > 0][: max(0, short)]:
-        whole[k] += 1
-    return whole, expected
+    return expected
 
 
 class CalibratedSample:
     """rows: any columns with `key` and the category columns; targets: the category columns, target_share, min_rows."""
 
-    def __init__(self, rows: DataFrame, targets: DataFrame, categories: list[str], key: str, fraction: float = 0.2, size: int | None = None, seed: int = 42, max_categories: int = 100_000):
-        rows = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    def __init__(self, rows: DataFrame, targets: DataFrame, categories: list[str], key: str, fraction: float = 0.2, size: int | None = None, seed: int = 42):
+        rows = keep_first(rows.where(F.col(key).isNotNull()), [key], categories)
         self.rows, self.categories, self.key, self.seed = rows, categories, key, seed
         wanted = targets.groupBy(*categories).agg(F.sum("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"))
         counts = rows.groupBy(*categories).agg(F.count("*").alias("available"))
@@ -84,17 +81,16 @@ class CalibratedSample:
         for m in match[1:]:
             condition = condition & m
         joined = wanted.join(counts, condition, "left").select(*(wanted[c] for c in categories), "target_share", "min_rows", F.coalesce("available", F.lit(0)).alias("available"))
-        self.table = joined.orderBy(*categories).limit(max_categories + 1).toPandas()  # as many rows as there are targets
-        if len(self.table) > max_categories:
-            raise ValueError(f"more than {max_categories} targets")
+        self.table = joined.orderBy(*categories).toPandas()  # as many rows as there are targets
         t = self.table
         available = t["available"].to_numpy(np.int64)
         share = t["target_share"].fillna(0).to_numpy(float).clip(min=0)
         share = share / share.sum() if share.sum() > 0 else share
         self.size = int(size if size is not None else math.floor(fraction * available.sum()))
         t["target_rows"] = share * self.size
-        t["drawn"], t["expected"] = plan(available, share, t["min_rows"].fillna(0).to_numpy(np.int64), self.size)
-        t["probability"] = np.divide(t["drawn"], available, out=np.zeros(len(t)), where=available > 0)
+        t["expected"] = plan(available, share, t["min_rows"].fillna(0).to_numpy(np.int64), self.size)
+        t["probability"] = np.minimum(1.0, np.divide(t["expected"], available, out=np.zeros(len(t)), where=available > 0))
+        self.drawn: DataFrame | None = None
 
     def sample(self) -> DataFrame:
         """The drawn rows, all columns, with their inclusion probability."""
@@ -105,21 +101,24 @@ class CalibratedSample:
             values = [None if v is None or v != v else int(v) if "int" in k else v for v, k in zip(row, kinds.values())]
             cells.append((*values, float(row[-1]), number))
         schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "p__ double", "c__ int"])
-        table = F.broadcast(spark.createDataFrame(cells, schema))  # one row a target
+        table = spark.createDataFrame(cells, schema)  # one row a target
         condition = None
         for c in self.categories:
             m = self.rows[c].eqNullSafe(table[c])
             condition = m if condition is None else condition & m
         joined = self.rows.join(table, condition).select(*(self.rows[c] for c in self.rows.columns if c != "probability"), "p__", "c__").where("p__ > 0")
-        order = F.xxhash64(self.key, F.lit(self.seed)).cast("double")
-        units = joined.select(F.col("c__").alias("category"), F.col(self.key).alias("key"), F.col("p__").alias("prob"), order.alias("place"))
-        sizes = dict(enumerate(t["available"].astype(int).tolist()))
-        chosen = pivotal_sample(units, sizes, self.seed)
-        return joined.join(chosen.select(F.col("key").alias(self.key)), self.key, "left_semi").drop("c__").withColumnRenamed("p__", "probability")
+        if self.drawn is None:
+            order = F.xxhash64(self.key, F.lit(self.seed)).cast("double")
+            units = joined.select(F.col("c__").alias("category"), F.col(self.key).alias("key"), F.col("p__").alias("prob"), order.alias("place"))
+            self.drawn = pivotal_sample(units, self.seed)
+        return joined.join(self.drawn.select(F.col("key").alias(self.key)), self.key, "left_semi").drop("c__").withColumnRenamed("p__", "probability")
 
     def report(self) -> DataFrame:
         """Per target: its share and floor, what is there, what was wanted and drawn, the shares drawn and missed, and why."""
+        self.sample()
         t = self.table.copy()
+        counts = {r["category"]: r["n"] for r in self.drawn.groupBy("category").agg(F.count("*").alias("n")).collect()}  # one row a target
+        t["drawn"] = [counts.get(i, 0) for i in range(len(t))]
         total = max(1, int(t["drawn"].sum()))
         t["drawn_share"] = t["drawn"] / total
         t["gap_rows"] = t["target_rows"] - t["drawn"]

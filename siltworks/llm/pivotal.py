@@ -2,7 +2,8 @@
 
 Two units duel: one takes as much of the other's probability as it can, until each unit is in or out. Within a block the duels go
 along the order of the units, so neighbours share their fate and the sample is spread over that order. Each block leaves at most
-one undecided unit; these duel in the next round, so no task ever holds more than about one block, however hot a category is.
+one undecided unit; these duel in the next round, so no task ever holds more than about one block, however hot a category is or however many
+categories there are.
 """
 
 from __future__ import annotations
@@ -45,13 +46,13 @@ def duel_along(prob: np.ndarray, dice: np.ndarray) -> np.ndarray:
     return out
 
 
-def pivotal_sample(units: DataFrame, sizes: dict[int, int], seed: int = 42, block: int = 50_000) -> DataFrame:
+def pivotal_sample(units: DataFrame, seed: int = 42, block: int = 50_000) -> DataFrame:
     """units: (category int, key long, prob double, place double) -> (category, key) of the units that are in.
 
-    sizes: the number of units of each category, from a grouped count; it sets the number of blocks. `place` orders the units of a
-    category (for example a size), ties are broken by a hash of the key, equal rows fall side by side. Null keys are dropped.
+    Units duel within their category first, so that each category gets its expected number of units, up or down; the at most one that is
+    left of each category then duels with those of the others, so that the whole sample has its expected size. `place` orders the units of
+    a category (for example a size), ties are broken by a hash of the key, equal rows fall side by side. Null keys are dropped.
     """
-    spark = units.sparkSession
     kinds = "category int, key long, prob double, place double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,22 +67,23 @@ def pivotal_sample(units: DataFrame, sizes: dict[int, int], seed: int = 42, bloc
         kept = after > 0
         yield pa.RecordBatch.from_arrays([pa.array(category[order][kept]), pa.array(key[order][kept]), pa.array(after[kept]), pa.array(place[order][kept])], names=["category", "key", "prob", "place"])
 
-    left = {c: n for c, n in sizes.items() if n}
-    now = units.select(F.col("category").cast("int"), F.col("key").cast("long"), F.col("prob").cast("double"), F.col("place").cast("double")).where("key is not null")
-    chosen = None
-    while True:
-        blocks = {c: -(-n // block) for c, n in left.items()}
-        several = {c: b for c, b in blocks.items() if b > 1}
-        count = F.coalesce(F.create_map(*(F.lit(x) for cb in several.items() for x in cb))[F.col("category")], F.lit(1)) if several else F.lit(1)
-        salted = now.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(seed)), count))
-        done = materialise(salted.groupBy("category", "salt").applyInArrow(lambda t: _block(t, run), kinds), "duels")
-        inside = done.where("prob >= 1").select("category", "key")
-        chosen = inside if chosen is None else chosen.unionByName(inside)
-        if not several:
-            # what is left of a whole number of expected units is rounding
-            return chosen.unionByName(done.where("prob < 1 and prob >= 0.5").select("category", "key"))
-        now = done.where("prob < 1")
-        left = blocks
+    now = units.select(F.col("category").cast("int"), F.col("key").cast("long"), F.col("prob").cast("double"), F.col("place").cast("double")).where("key is not null and prob > 0")
+    now = materialise(now, "units")
+    chosen = now.where("prob >= 1").select("category", "key")
+    now = now.where("prob < 1")
+    for pool in (F.col("category"), F.lit(0)):
+        while True:
+            pooled = now.withColumn("pool", pool)
+            blocks = pooled.groupBy("pool").agg(F.ceil(F.count("*") / block).alias("blocks"))
+            most = blocks.agg(F.max("blocks")).first()[0] or 0
+            salted = pooled.join(blocks, "pool").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
+            done = materialise(salted.groupBy("pool", "salt").applyInArrow(lambda t: _block(t, run), kinds), "duels")
+            chosen = chosen.unionByName(done.where("prob >= 1").select("category", "key"))
+            now = done.where("prob < 1")
+            if most <= 1:
+                break
+    # what is left of a whole number of expected units is rounding
+    return chosen.unionByName(now.where("prob >= 0.5").select("category", "key"))
 
 
 def _block(table: pa.Table, run) -> pa.Table:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltworks.llm.bagminhash import NearDuplicates, conversation_text
 from siltworks.llm.calibrated import CalibratedSample
+from siltworks.llm.langid import document_languages, fit_languages
 from siltworks.llm.mixing import SourceMix
 from siltworks.session import table
 
@@ -48,14 +49,17 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> SourceMix:
+    pool = table(spark, sf_dir, "scored_pool")
+    said = pool.select("row_id", conversation_text().alias("text"), F.lit(None).cast("string").alias("lang"))
+    language = document_languages(said, fit_languages(table(spark, sf_dir, "documents")), key="row_id").select("row_id", F.col("lang").alias("language"))
     text = F.aggregate(F.filter("messages", lambda m: ~F.coalesce(m["role"] == "system", F.lit(False))), F.lit(0), lambda n, m: n + F.coalesce(F.length(m["content"]), F.lit(0)))
-    rows = table(spark, sf_dir, "scored_pool").select("row_id", plain_source().alias("source"), F.coalesce("question_chars", text).alias("chars"), F.col("pass_count").alias("topic"))
+    rows = pool.select("row_id", plain_source().alias("source"), F.coalesce("question_chars", text).alias("chars"), F.col("pass_count").alias("topic")).join(language, "row_id", "left")
     weights = table(spark, sf_dir, "mix_weights").select(plain_source().alias("source"), "target_weight", "max_repeats")
-    return SourceMix(rows, weights, "row_id", "source", "chars", "topic")
+    return SourceMix(rows, weights, "row_id", "source", "chars", ["language", "topic"])
 
 
 def p6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir).mix().select("row_id", "source", "chars", "topic", "repeats")
+    return _mixed(spark, sf_dir).mix().select("row_id", "source", "chars", "language", "topic", "repeats")
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from siltworks.functions.vectext import distinct_per_row
 from siltworks.llm.bagminhash import NearDuplicates, bag, bagminhash, overlap
 from siltworks.llm.components import connected_components
+from siltworks.llm.semijoin import members_of
 
 
 def _signatures(bags, m):
@@ -134,3 +135,29 @@ def test_components_against_union_find(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_crowded_bands_lose_no_pair(spark):
+    words = [f"w{i}" for i in range(60)]
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        own = words[:]
+        own[rng.randrange(60)] = f"x{i}"
+        rows.append(("t", i, " ".join(own)))
+    df = spark.createDataFrame(rows, "src string, id long, text string")
+    pairs = [{tuple(r) for r in NearDuplicates(df, threshold=0.6, shingle=3, weighted=False, hot=h).pairs().select("id_a", "id_b").collect()} for h in (7, 1000)]
+    assert pairs[0] == pairs[1] == _brute([(i, t) for _, i, t in rows], 3, 0.6)
+
+
+def test_weights_count_in_overlap(spark):
+    df = spark.createDataFrame([("t", 1, "a b " * 40), ("t", 2, "a b " * 36), ("t", 3, "a b " * 5)], "src string, id long, text string")
+    got = {tuple(r) for r in NearDuplicates(df, threshold=0.8, shingle=2, weighted=True).pairs().select("id_a", "id_b").collect()}
+    assert got == {(1, 2)}
+
+
+@pytest.mark.parametrize("largest", [1 << 27, 1])
+def test_semi_join_by_bits(spark, largest):
+    rows = spark.range(1000).selectExpr("'t' as src", "id", "'clash' as hash", "id as slot")
+    wanted = spark.range(0, 1000, 7).selectExpr("'t' as src", "id").union(spark.sql("select 'u', 5L"))
+    assert sorted(r.id for r in members_of(rows, wanted, largest=largest).collect()) == list(range(0, 1000, 7))

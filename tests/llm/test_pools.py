@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siltworks.llm.calibrated import CalibratedSample, plan, tilt
 from siltworks.llm.mixing import SourceMix, rake, source_totals
@@ -28,7 +29,7 @@ def test_duels_keep_each_probability():
 
 def test_pivotal_sample_in_blocks_draws_exact_counts(spark):
     units = spark.range(5000).selectExpr("cast(id % 2 as int) as category", "id as key", "case when id % 2 = 0 then 0.2 else 0.64 end as prob", "cast(id % 7 as double) as place", "'x' as salt")
-    got = {r.category: r.n for r in pivotal_sample(units, {0: 2500, 1: 2500}, block=300).groupBy("category").agg({"key": "count"}).withColumnRenamed("count(key)", "n").collect()}
+    got = {r.category: r.n for r in pivotal_sample(units, block=300).groupBy("category").agg({"key": "count"}).withColumnRenamed("count(key)", "n").collect()}
     assert got == {0: 500, 1: 1600}
 
 
@@ -42,10 +43,10 @@ def test_tilt_meets_its_moments():
 def test_plan_keeps_floors_and_ceilings(rows, size):
     available, share, floor = (np.array(x) for x in zip(*rows))
     share = share / share.sum() if share.sum() > 0 else np.zeros(len(share))
-    whole, expected = plan(available, share, floor, size)
-    assert (whole <= available).all()
+    expected = plan(available, share, floor, size)
+    assert (expected <= available + 1e-6).all()
     if np.minimum(floor, available).sum() <= min(size, available.sum()):
-        assert (whole >= np.minimum(floor, available) * (share >= 0) - 1).all()
+        assert (expected >= np.minimum(floor, available) - 1e-6).all()
     free = (expected > np.minimum(floor, available) + 1e-6) & (expected < available - 1e-6) & (share > 0)
     if free.sum() > 1:  # those that are neither at their floor nor at their ceiling stand in the ratio of their shares
         k = np.flatnonzero(free)[0]
@@ -95,7 +96,7 @@ def test_source_totals_are_limited_by_repeats():
 
 def test_rake_meets_the_sources():
     cells, source, topic = np.array([10.0, 20, 30, 40]), np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
-    w = rake(cells, source, topic, np.array([50.0, 50.0]), np.array([40.0, 60.0]), np.full(4, 10.0))
+    w = rake(cells, [(topic, np.array([40.0, 60.0])), (source, np.array([50.0, 50.0]))], np.full(4, 10.0))
     assert np.allclose(np.bincount(source, w * cells), [50, 50]) and np.allclose(np.bincount(topic, w * cells), [40, 60])
 
 
@@ -105,7 +106,7 @@ def test_mix_meets_weights_and_repeats(spark):
     rows += [(9001, "a", None, 1, "x"), (9002, None, 50, 1, "x"), (9003, "other", 50, None, "x"), (None, "a", 10, 1, "x")] + rows[:4]
     pool = spark.createDataFrame(rows, "row_id long, source string, chars int, topic int, whole string")
     weights = spark.createDataFrame([("a", 0.7, 1), ("b", 0.25, 3), ("none", 0.05, 4)], "source string, target_weight double, max_repeats int")
-    m = SourceMix(pool, weights, "row_id", "source", "chars", "topic")
+    m = SourceMix(pool, weights, "row_id", "source", "chars", ["topic"])
     got = m.mix().collect()
     assert len(got) == len({r.row_id for r in got})
     assert max(r.repeats for r in got if r.source == "b") <= 3 and max(r.repeats for r in got if r.source == "a") == 1
@@ -117,5 +118,36 @@ def test_mix_meets_weights_and_repeats(spark):
 def test_mix_of_nothing(spark):
     pool = spark.createDataFrame([], "row_id long, source string, chars int, topic int")
     weights = spark.createDataFrame([("a", 1.0, 1)], "source string, target_weight double, max_repeats int")
-    m = SourceMix(pool, weights, "row_id", "source", "chars", "topic")
+    m = SourceMix(pool, weights, "row_id", "source", "chars", ["topic"])
     assert m.mix().count() == 0 and [r.reason for r in m.report().collect()] == ["no rows"]
+
+
+def test_rake_meets_three_marginals():
+    rng = np.random.default_rng(1)
+    of = [rng.integers(0, k, 200) for k in (3, 4, 5)]
+    cells = rng.uniform(1, 5, 200)
+    marginals = [(x, np.bincount(x, cells * rng.uniform(0.8, 1.2, 200))) for x in of]
+    marginals = [(x, t / t.sum() * 500) for x, t in marginals]
+    w = rake(cells, marginals, np.full(200, 50.0))
+    for x, t in marginals:
+        assert np.allclose(np.bincount(x, w * cells), t, rtol=1e-4)
+
+
+def test_mix_holds_the_language_and_topic_marginals(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 3 == 0], ["en", "de"][int(rng.random() < (0.1 if i % 3 else 0.5))], int(rng.integers(0, 3)), int(rng.integers(50, 90))) for i in range(6000)] + [(9999, "a", None, None, 60)]
+    pool = spark.createDataFrame(rows, "row_id long, source string, language string, topic int, chars int")
+    weights = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_weight double, max_repeats int")
+    share = lambda df, c: {r[c]: r.n for r in df.groupBy(c).agg(F.sum(F.col("chars") * F.col("repeats")).alias("n")).collect()}
+    mix = SourceMix(pool, weights, "row_id", "source", "chars", ["language", "topic"]).mix()
+    for c in ("language", "topic"):
+        got, base = share(mix, c), share(pool.withColumn("repeats", F.lit(1)), c)
+        for v in base:
+            assert got.get(v, 0) / sum(got.values()) == pytest.approx(base[v] / sum(base.values()), abs=0.01)
+    got = share(mix, "source")
+    assert got["a"] / sum(got.values()) == pytest.approx(0.5, abs=0.005)
+
+
+def test_many_small_categories_draw_the_whole_size(spark):
+    units = spark.range(3000).selectExpr("cast(id div 3 as int) as category", "id as key", "0.25 as prob", "0.0 as place")
+    assert pivotal_sample(units, block=100).count() == 750
