@@ -117,7 +117,11 @@ class FMIndex:
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search of all rows of `phrases`; returns the rows that occur and their ranges of suffixes."""
-        alive = np.flatnonzero((phrases > 0).all(axis=1))
+        there = np.diff(self.below) > 0
+        there[0] = False
+        alive = np.arange(len(phrases))
+        for k in range(phrases.shape[1]):  # those with a symbol that the text lacks are dropped
+            alive = alive[there[phrases[alive, k]]]
         if not len(alive):
             return alive, alive, alive
         low, high = self.below[phrases[alive, -1]], self.below[phrases[alive, -1] + 1]

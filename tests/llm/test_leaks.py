@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from siltworks.functions.vectext import hash_strings
 from siltworks.llm.fmindex import FMIndex, WaveletMatrix, suffix_array
 from siltworks.llm.leaks import item_phrases, leak_spans, leaked_documents, leaked_items, plain, words_of
 
@@ -74,6 +75,16 @@ def test_leaks(spark):
     assert leaked_documents(docs, items.limit(0)).count() == 0
 
 
-def test_shared_phrases_belong_to_nobody():
-    _, phrases, owner = item_phrases([("a", " ".join(W[:14])), ("b", " ".join(W[1:15]))])
-    assert dict(zip(phrases, owner)) == {tuple(W[0:12]): "a", tuple(W[3:15]): "b"}
+def test_shared_phrases_belong_to_nobody(spark):
+    items = spark.createDataFrame([("a", " ".join(W[:14])), ("b", " ".join(W[1:15])), ("b", " ".join(W[1:15])), (None, "x"), ("n", None)], "question_id string, question_content string")
+    got = {(tuple(r.words), r.item) for r in item_phrases(items).collect()}
+    key = lambda words: tuple(hash_strings(words).view(np.int64).tolist())
+    assert got == {(key(W[0:12]), "a"), (key(W[3:15]), "b")}
+
+
+def test_blocks_of_phrases_find_the_same(spark):
+    docs = spark.createDataFrame([(i, " ".join(W[i : i + 14])) for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "question_id string, question_content string")
+    spans = [sorted(map(tuple, leak_spans(docs, items, block=b).collect())) for b in (7, 500_000)]
+    assert spans[0] == spans[1] and len(spans[0]) > 20
+
