@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import col, strip, truthy_strip
+from siltworks.functions.text import col, strip, truthy_strip, with_contract
 
 CASE = "array<struct<input:string,output:string,testtype:string>>"
 STDIN_NAMES = ("stdin", "stdio", "standard_input")
@@ -126,8 +126,21 @@ def text_pair(layout: tuple[str, str | None, str | None]) -> tuple[Column, Colum
 
 
 def stringified(value: Column, is_text: bool) -> Column:
-    """Text stripped, null empty, anything else as JSON."""
-    return truthy_strip(value) if is_text else F.coalesce(F.to_json(value), F.lit(""))
+    """Text stripped, null empty, anything else as JSON with its keys in order (those of a variant are)."""
+    return truthy_strip(value) if is_text else F.coalesce(F.to_json(F.parse_json(F.to_json(value))), F.lit(""))
+
+
+def with_contract_message(messages: Column | str, names: Column | str) -> Column:
+    """The messages with the contract in the first user message only."""
+    m = col(messages)
+    at = F.array_position(F.transform(m, lambda x: F.coalesce(x["role"], F.lit(""))), "user")
+    return F.transform(m, lambda x, i: F.struct(x["role"].alias("role"), F.when(i + 1 == at, with_contract(x["content"], names)).otherwise(x["content"]).alias("content")))
+
+
+def first_filled(*lists: Column) -> Column:
+    """The first list that has any element; an empty one if none has."""
+    empty = F.array().cast("array<string>")
+    return F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists), empty)
 
 
 def case_rows(df, public: str = "public_test_cases", functional: bool = False):
@@ -135,3 +148,8 @@ def case_rows(df, public: str = "public_test_cases", functional: bool = False):
     listed = cases(public)
     kept = F.concat(stdin_cases(listed), functional_cases(listed)) if functional else stdin_cases(listed)
     return df.withColumn("cases", kept).where(F.size("cases") > 0)
+
+
+def prompt_messages(system: str, question: Column, names: Column) -> Column:
+    """System and user message of a training prompt; the user message names what a solution must define."""
+    return chat(("system", F.lit(system)), ("user", with_contract(question, names)))

@@ -13,9 +13,11 @@ import os
 import re
 import signal
 import subprocess
+import symtable
 import sys
 import tempfile
 import textwrap
+import time
 from collections import Counter
 from collections.abc import Callable
 
@@ -24,45 +26,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUILTINS = frozenset(dir(builtins)) | {"True", "False", "None"}
-#: Fixed names of modules that tests may use without importing them.
-KNOWN_MODULES = frozenset("collections datetime functools heapq itertools json math np numpy operator os pd pandas pytest random re statistics string sys time typing".split())
+#: Names that tests may use without importing them.
+KNOWN_MODULES = frozenset(
+    "collections datetime functools heapq itertools json math np numpy operator os pd pandas pathlib pytest random re sqlite3 statistics sys tempfile unittest".split()
+)
 
 
 def _tree(code: str) -> ast.AST | None:
     try:
         return ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
 
 
-def bound_names(tree: ast.AST) -> set[str]:
-    """Names a tree binds: imports, definitions, stores, exception names."""
+def bound_names(code: str) -> set[str]:
+    """Names that a text imports, defines or assigns in any of its scopes, parameters left out; none if it does not compile to scopes."""
+    try:
+        scopes = [symtable.symtable(code, "text", "exec")]
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return set()
     names: set[str] = set()
-    for node in ast.walk(tree):
-        match node:
-            case ast.Import(names=found) | ast.ImportFrom(names=found):
-                names |= {a.asname or a.name.partition(".")[0] for a in found}
-            case ast.FunctionDef(name=n) | ast.AsyncFunctionDef(name=n) | ast.ClassDef(name=n):
-                names.add(n)
-            case ast.Name(id=n, ctx=ast.Store()):
-                names.add(n)
-            case ast.ExceptHandler(name=str(n)):
-                names.add(n)
+    while scopes:
+        scope = scopes.pop()
+        names.update(s.get_name() for s in scope.get_symbols() if (s.is_assigned() or s.is_imported() or s.is_namespace()) and not s.is_parameter())
+        scopes.extend(scope.get_children())
     return names
 
 
-def called_root(node: ast.AST) -> str | None:
-    while isinstance(node, ast.Attribute):
-        node = node.value
-    return node.id if isinstance(node, ast.Name) else None
+class _Uses(ast.NodeVisitor):
+    """The names that a tree reads and those at the head of what it calls, in one walk."""
+
+    def __init__(self, tree: ast.AST):
+        self.read: set[str] = set()
+        self.called: Counter[str] = Counter()
+        self.visit(tree)
+
+    def visit_Name(self, node: ast.Name) -> None:
+        if isinstance(node.ctx, ast.Load):
+            self.read.add(node.id)
+
+    def visit_Call(self, node: ast.Call) -> None:
+        head = ast.unparse(node.func).partition(".")[0]
+        if head.isidentifier():
+            self.called[head] += 1
+        self.generic_visit(node)
 
 
 def symbols_needed(tests: list[str]) -> list[str]:
     """Names that tests call but do not bind, most frequent first, then by name; tests that do not parse are passed over."""
     counts: Counter[str] = Counter()
-    for tree in filter(None, map(_tree, tests)):
-        known = bound_names(tree) | BUILTINS | KNOWN_MODULES
-        counts.update(n for c in ast.walk(tree) if isinstance(c, ast.Call) and (n := called_root(c.func)) and n not in known)
+    for test in tests:
+        tree = _tree(test)
+        if tree is not None:
+            own = bound_names(test) | BUILTINS | KNOWN_MODULES
+            counts.update({n: k for n, k in _Uses(tree).called.items() if n not in own})
     return sorted(counts, key=lambda n: (-counts[n], n))
 
 
@@ -72,10 +89,7 @@ def standing_alone(tests: list[str]) -> list[str]:
 
     def alone(test: str) -> bool:
         tree = _tree(test)
-        if tree is None:
-            return False
-        known = needed | bound_names(tree)
-        return all(n.id in known for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load))
+        return tree is not None and _Uses(tree).read <= needed | bound_names(test)
 
     return [t for t in tests if alone(t)]
 
@@ -183,15 +197,41 @@ def _outcome(ended: str, err: str) -> tuple[str, str | None]:
     return "fail", kind
 
 
+_EACH = """
+import json as _json, sys as _sys
+_real = _sys.stdout
+for _i, _t in enumerate(_TESTS):
+    try:
+        exec(compile(_CODE + "\\n\\n" + _t, "program", "exec"), {"__name__": "__main__"})
+        _e = None
+    except SystemExit as x:
+        _e = None if not x.code else "runtime_error"
+    except BaseException as x:
+        _e = "syntax_error" if isinstance(x, SyntaxError) else "wrong_answer" if isinstance(x, AssertionError) else "runtime_error"
+    _real.write("\\nVERDICT " + _json.dumps([_i, _e]) + "\\n")
+    _real.flush()
+"""
+
+
 def judge_functions(code: str, tests: list[str], timeout: float = 5.0) -> dict:
-    """One process a test; the first failure names the error."""
-    status, error, passed, failed = "pass", None, 0, 0
-    for t in tests:
-        s, e = _outcome(*(r := run_python(code + "\n\n" + t, timeout=timeout))[::2])
-        passed, failed = passed + (s == "pass"), failed + (s != "pass")
-        if s != "pass" and error is None:
-            status, error = "fail", e
-    return {"status": status, "error_type": error, "passed": passed, "failed": failed}
+    """All tests in one process, each with the code run afresh; the first failure names the error.
+
+    If the process is killed, the tests it did not reach are run in processes of their own.
+    """
+    errors: list[str | None] = []
+    ended, out, _ = run_python(f"_CODE = {code!r}\n_TESTS = {tests!r}\n{_EACH}", timeout=timeout)
+    for line in re.findall(r"^VERDICT (.*)$", out, re.M):
+        try:
+            i, error = json.loads(line)
+        except ValueError:
+            continue
+        if i == len(errors):
+            errors.append(error)
+    for t in tests[len(errors) :]:
+        ended, _, err = run_python(code + "\n\n" + t, timeout=timeout)
+        errors.append(_outcome(ended, err)[1])
+    failures = [e for e in errors if e is not None]
+    return {"status": "fail" if failures else "pass", "error_type": failures[0] if failures else None, "passed": len(errors) - len(failures), "failed": len(failures)}
 
 
 def judge_stdio(code: str, cases: list[dict], timeout: float = 5.0) -> dict:
@@ -322,15 +362,25 @@ self_contained = _series(TEXTS, lambda tests: standing_alone(_texts(tests)))
 pytest_asserts = _series(TEXTS, lambda t: assert_lines(t) if isinstance(t, str) else [])
 pytest_blocks = _series(TEXTS, lambda t: test_blocks(t) if isinstance(t, str) else [])
 code_candidate = _series(T.StringType(), lambda t: trimmed_code(t) if isinstance(t, str) else None)
-defined_symbols = _series(TEXTS, lambda t: sorted(bound_names(tree)) if isinstance(t, str) and (tree := _tree(t)) is not None else [])
+defined_symbols = _series(TEXTS, lambda t: sorted(bound_names(t)) if isinstance(t, str) else [])
 runs_all = _series(T.BooleanType(), lambda code, tests: passes(code if isinstance(code, str) else None, _texts(tests))).asNondeterministic()
 function_verdict = _verdicts(lambda code, tests: judge_functions(code, _texts(tests)))
 stdio_verdict = _verdicts(lambda code, cases: judge_stdio(code, [c if isinstance(c, dict) else c.asDict() for c in cases]))
 call_verdict = _verdicts(lambda code, name, cases: judge_calls(code, name, [c if isinstance(c, dict) else c.asDict() for c in cases]))
 module_verdict = _verdicts(judge_module)
 differential_verdict = _verdicts(lambda code, reference, name, inputs: judge_differential(code, reference, name, json.loads(inputs or "[]")))
-#: Reward and judging functions by name, for SQL.
-REGISTRY = {"runs_all": runs_all, "function_verdict": function_verdict, "module_verdict": module_verdict, "required_symbols": required_symbols, "self_contained": self_contained}
+@F.pandas_udf(T.StructType([T.StructField("passed", T.BooleanType()), T.StructField("elapsed", T.DoubleType())]))
+def _timed(code: pd.Series, tests: pd.Series) -> pd.DataFrame:
+    rows = []
+    for c, t in zip(code, tests):
+        began = time.monotonic()
+        rows.append((passes(c if isinstance(c, str) else None, _texts(t)), time.monotonic() - began))
+    return pd.DataFrame(rows, columns=["passed", "elapsed"])
+
+
+timed_run = _timed.asNondeterministic()
+#: Judging functions by name, for SQL.
+REGISTRY = {"timed_run": timed_run, "stdio_verdict": stdio_verdict, "call_verdict": call_verdict, "differential_verdict": differential_verdict, "runs_all": runs_all, "function_verdict": function_verdict, "module_verdict": module_verdict, "required_symbols": required_symbols, "self_contained": self_contained}
 
 
 def register_all(spark) -> None:

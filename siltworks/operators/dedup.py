@@ -32,9 +32,16 @@ def keep_known(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(known.select(*keys).distinct(), keys, "left_semi")
 
 
-def ordered_subset(df: DataFrame, ids: DataFrame, key: str, place: str) -> DataFrame:
-    """Rows of the listed ids with their place in the list."""
-    return df.join(ids, key)
+def inner_or_fail(wanted: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """The inner join in which every wanted key must have a row: the job fails and names a key that has none, without a job before it."""
+    marked = wanted.join(df.withColumn("there__", F.lit(True)), key, "left")
+    checked = F.when(F.col("there__"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"missing {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(wanted.schema[key].dataType))
+    return marked.withColumn(key, checked).drop("there__")
+
+
+def ordered_subset(df: DataFrame, ids: DataFrame, key: str, tolerant: bool = False) -> DataFrame:
+    """Rows of the listed ids with their place in the list; an id without a row fails the job unless the subset is tolerant."""
+    return df.join(ids, key) if tolerant else inner_or_fail(ids, df, key)
 
 
 def missing_keys(wanted: DataFrame, df: DataFrame, key: str) -> DataFrame:

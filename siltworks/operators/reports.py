@@ -16,11 +16,15 @@ def length_stats(df: DataFrame, value: Column, by: list[str] | None = None) -> D
 def facet_counts(df: DataFrame, facets: list[list[str]]) -> DataFrame:
     """Counts of several groupings and the total from one pass; columns that a row does not group by are null."""
     names = list(dict.fromkeys(c for f in facets for c in f))
-    groups = ", ".join("(" + ", ".join(f"`{c}`" for c in f) + ")" for f in facets)
-    view = "facets__"
-    df.createOrReplaceTempView(view)
-    flags = ", ".join(f"`{c}`" for c in names)
-    return df.sparkSession.sql(f"SELECT {flags}, grouping_id({flags}) AS facet, count(*) AS n FROM {view} GROUP BY GROUPING SETS ({groups}, ())")
+    sets = [[F.col(c) for c in f] for f in facets] + [[]]
+    return df.groupingSets(sets, *names).agg(F.grouping_id().alias("facet"), F.count("*").alias("n"))
+
+
+def facet_means(df: DataFrame, value: Column, facets: list[list[str]]) -> DataFrame:
+    """Rows and the mean of a value for several groupings and in total, from one pass."""
+    names = list(dict.fromkeys(c for f in facets for c in f))
+    sets = [[F.col(c) for c in f] for f in facets] + [[]]
+    return df.groupingSets(sets, *names).agg(F.grouping_id().alias("facet"), F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:

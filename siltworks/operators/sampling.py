@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltworks.session import materialise
+
 
 def draw(seed: int, key: Column | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string")))
@@ -18,7 +20,33 @@ def draw(seed: int, key: Column | str) -> Column:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly n rows (all of a smaller table)."""
-    return df.orderBy(draw(seed, key), key).limit(n)
+    marked = df.withColumn("draw__", draw(seed, key))
+    lead = -F.conv(F.substring("draw__", 1, 8), 16, 10).cast("double")
+    return top_rows(marked, n, lead, [F.col("draw__"), F.col(key)]).drop("draw__")
+
+
+def top_rows(df: DataFrame, n: int, lead: Column, order: list[Column], few: int = 10_000, steps: int = 65_536) -> DataFrame:
+    """The first n rows in an order that begins with the greatest `lead`, a number.
+
+    Few rows are merged from the tasks' own tops. For many, rows are counted by steps of the lead, whole steps are kept, and only the step
+    at the border is sorted, so the n rows never meet in one task.
+    """
+    if n <= few:
+        return df.orderBy(*order).limit(n)
+    marked = df.withColumn("lead__", lead.cast("double"))
+    ends = marked.agg(F.max("lead__").alias("high"), F.min("lead__").alias("low")).first()
+    if ends["high"] is None:
+        return df.limit(0)
+    width = (ends["high"] - ends["low"]) / steps or 1.0
+    marked = marked.withColumn("step__", F.coalesce(F.floor((F.lit(ends["high"]) - F.col("lead__")) / width), F.lit(steps + 1)))
+    counts = {r["step__"]: r["n"] for r in marked.groupBy("step__").agg(F.count("*").alias("n")).collect()}  # at most `steps` rows and two
+    border, before = -1, 0
+    for border in sorted(counts):
+        if before + counts[border] >= n:
+            break
+        before += counts[border]
+    whole = marked.where(F.col("step__") < border)
+    return whole.unionByName(marked.where(F.col("step__") == border).orderBy(*order).limit(n - before)).drop("lead__", "step__")
 
 
 def shuffle_positions(df: DataFrame, key: str, seed: int = 42, position: str = "shuffle_pos") -> DataFrame:
@@ -54,15 +82,17 @@ def greedy_stratified(df: DataFrame, stratum: str, target: int, key: str, seed:
     their stratum, ordered by (first rows first, ideal - k, size - k, stratum), all descending.
     """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size__"))
-    total = sizes.agg(F.sum("size__").alias("total__"), F.count("*").alias("groups__"))
+    sums = sizes.agg(F.sum("size__").alias("total"), F.count("*").alias("groups")).first()
     ranked = df.withColumn("k__", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, key), key)))
     # no stratum gives more than the target, so the tasks may drop the rest before the shuffle
     ranked = ranked.where(F.col("k__") <= target).withColumn("k__", F.col("k__") - 1)
-    joined = ranked.join(sizes, stratum).crossJoin(F.broadcast(total))  # one row
-    ideal = F.col("size__") / F.col("total__") * target
-    forced = F.when((F.col("k__") == 0) & (F.col("groups__") <= target), 1).otherwise(0)
-    order = [F.desc(forced), F.desc(ideal - F.col("k__")), F.desc(F.col("size__") - F.col("k__")), F.desc(stratum)]
-    return joined.orderBy(*order).limit(target).drop("k__", "size__", "total__", "groups__")
+    joined = ranked.join(sizes, stratum)
+    want = F.col("size__") / F.lit(sums["total"] or 1) * target - F.col("k__")
+    order = [F.desc(want), F.desc(F.col("size__") - F.col("k__")), F.desc(stratum)]
+    if sums["groups"] > target:
+        return top_rows(joined, target, want, order).drop("k__", "size__")
+    rest = top_rows(joined.where("k__ > 0"), target - sums["groups"], want, order)
+    return joined.where("k__ = 0").unionByName(rest).drop("k__", "size__")
 
 
 def largest_remainder(sizes: dict, total: int) -> dict:
@@ -109,12 +139,16 @@ def round_robin(df: DataFrame, group: list[str], bucket: str, quotas: DataFrame,
 def equal_buckets(df: DataFrame, bucket: str, buckets: list, target: int, key: str, seed: int = 42) -> DataFrame:
     """target // k rows a bucket (one more for the first ones); what a bucket lacks is filled from the others' rest, in bucket order."""
     k = len(buckets)
-    quota = F.create_map(*(x for i, b in enumerate(buckets) for x in (F.lit(b), F.lit(target // k + (i < target % k)))))
-    order = F.create_map(*(x for i, b in enumerate(buckets) for x in (F.lit(b), F.lit(i))))
+    own = df.where(F.col(bucket).isin(*buckets))
+    there = {r[bucket]: r["n"] for r in own.groupBy(bucket).agg(F.count("*").alias("n")).collect()}  # one row a bucket
+    quota = {b: min(there.get(b, 0), target // k + (i < target % k)) for i, b in enumerate(buckets)}
+    short = target - sum(quota.values())
+    for b in buckets:  # what others lack, in bucket order
+        more = min(short, there.get(b, 0) - quota[b])
+        quota[b], short = quota[b] + more, short - more
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy(draw(seed, key), key))
-    ranked = df.where(F.col(bucket).isin(*buckets)).withColumn("rank__", rank).where(F.col("rank__") <= target).withColumn("own__", F.col("rank__") <= quota[F.col(bucket)])
-    # own rows first, then the rest in bucket order: one top-n
-    return ranked.orderBy(F.desc("own__"), F.when(F.col("own__"), 0).otherwise(order[F.col(bucket)]), F.when(F.col("own__"), 0).otherwise(F.col("rank__")), key).limit(target).drop("rank__", "own__")
+    most = F.create_map(*(x for b, n in quota.items() for x in (F.lit(b), F.lit(n))))
+    return own.withColumn("rank__", rank).where(F.col("rank__") <= most[F.col(bucket)]).drop("rank__")
 
 
 def block_interleave(df: DataFrame, label: str, per_block: dict, key: str, seed: int = 42, blocks: int | None = None) -> DataFrame:
@@ -128,6 +162,16 @@ def block_interleave(df: DataFrame, label: str, per_block: dict, key: str, seed:
     return (out if blocks is None else out.where(F.col("block") < blocks)).withColumnRenamed("rank__", "place_in_label")
 
 
+def numbered(df: DataFrame, by: str, place: str = "place", ranges: int = 1024) -> DataFrame:
+    """The place of each row in the order of a column, from 0, by a range partitioning: no task sorts more than about its share of the rows."""
+    parted = df.repartitionByRange(ranges if df.sparkSession.sparkContext.defaultParallelism > 64 else 16, by).withColumn("part__", F.spark_partition_id())
+    parted = materialise(parted, "ranges")
+    sizes = parted.groupBy("part__").agg(F.count("*").alias("n__"))
+    offsets = sizes.withColumn("offset__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n__")  # one row a range
+    rank = F.row_number().over(Window.partitionBy("part__").orderBy(by))
+    return parted.withColumn("rank__", rank).join(offsets, "part__").withColumn(place, F.col("offset__") + F.col("rank__") - 1).drop("part__", "rank__", "offset__")
+
+
 def stop_after(df: DataFrame, batch: str, eligible: Column, wanted: int) -> DataFrame:
     """Whole batches up to the one in which the wanted number of eligible rows is reached."""
     per = df.groupBy(batch).agg(F.count_if(eligible).alias("eligible__"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import estimated_tokens, middle_cut, parsed_submission, recovered_submission, submit_summary
+from siltworks.operators.dedup import keep_last
 
 CODING_ERRORS = ("wrong_answer", "runtime_error", "syntax_error")
 _TURN = ["turn_index", "raw_output", "parsed_think", "parsed_submit", "parse_status", "obs_for_model", "obs_full", "finish_reason", "recovery_used"]
@@ -15,7 +16,8 @@ def assembled(traces: DataFrame, turns: DataFrame) -> DataFrame:
     """One row a run with its turns in order; deliveries of the same turn count once, the latest of them."""
     once = turns.groupBy("run_id", "turn_index").agg(F.max_by(F.struct(*_TURN), "logged_at").alias("turn"))
     listed = once.groupBy("run_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))  # a run has a handful of turns
-    return traces.dropDuplicates(["run_id"]).join(listed, "run_id", "left").withColumn("turns", F.coalesce("turns", F.array().cast(listed.schema["turns"].dataType)))
+    newest = F.col("created_at") if "created_at" in traces.columns else F.lit(0)
+    return keep_last(traces, ["run_id"], newest).select(*traces.columns).join(listed, "run_id", "left").withColumn("turns", F.coalesce("turns", F.array().cast(listed.schema["turns"].dataType)))
 
 
 def turn_status(turn: Column) -> Column:
@@ -29,9 +31,9 @@ def turn_error(turn: Column) -> Column:
 
 
 def final_status(turns: Column) -> Column:
-    """The last pass or fail among the turns, `running` without one."""
-    told = F.filter(F.transform(turns, lambda t: F.get_json_object(t["obs_full"], "$.status")), lambda s: s.isin("pass", "fail"))
-    return F.coalesce(F.try_element_at(told, F.lit(-1)), F.lit("running"))
+    """`pass` if the last turn passed, `fail` if it did not, `running` without a turn."""
+    last = F.get_json_object(F.try_element_at(turns, F.lit(-1))["obs_full"], "$.status")
+    return F.when(F.size(turns) <= 0, "running").when(last == "pass", "pass").otherwise("fail")
 
 
 def clean_failure(turn: Column) -> Column:
@@ -50,7 +52,15 @@ def prefix_choice(turns: Column, low: int = 2, high: int = 3, clean_only: bool =
 
 
 def sliced(turns: Column, keep: Column) -> Column:
-    return F.slice(turns, 1, keep)
+    """The first turns with refreshed observations: their status and error as they are judged now."""
+
+    def refreshed(t: Column) -> Column:
+        kept = F.coalesce(F.from_json(t["obs_full"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+        rest = F.map_filter(kept, lambda k, _: ~k.isin("status", "error_type"))
+        now = F.map_concat(rest, F.create_map(F.lit("status"), turn_status(t), F.lit("error_type"), turn_error(t)))
+        return t.withField("obs_full", F.to_json(now))
+
+    return F.transform(F.slice(turns, 1, keep), refreshed)
 
 
 def _tag(name: str, text: Column) -> Column:
@@ -88,6 +98,15 @@ def budgeted_text(prompt: Column, turns: Column, budget_tokens: int = 3000) -> C
     return F.when(estimated_tokens(full) <= budget_tokens, full).when(estimated_tokens(compact) <= budget_tokens, compact).otherwise(middle_cut(compact, budget_tokens))
 
 
+def repaired_at(turns: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, passed, tasks, rate): tasks with a pass among the first k turns of any run, for several k from one pass."""
+    ok = F.get_json_object("obs_full", "$.status") == "pass"
+    per = turns.groupBy("task_id").agg(*(F.max(F.coalesce((F.col("turn_index") < k) & ok, F.lit(False))).alias(f"p{k}") for k in ks))
+    counts = per.agg(F.count("*").alias("tasks"), *(F.count_if(f"p{k}").alias(f"p{k}") for k in ks))
+    rows = counts.select("tasks", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("passed")) for k in ks))).alias("r"))
+    return rows.select("r.k", "r.passed", "tasks", F.try_divide("r.passed", "tasks").alias("rate"))
+
+
 def repaired_within(turns: DataFrame, k: int, tasks: DataFrame | None = None) -> DataFrame:
     """(passed, tasks, rate): tasks with a pass among the first k turns of any run; tasks without runs count as failed."""
     status = F.get_json_object("obs_full", "$.status")

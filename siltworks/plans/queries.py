@@ -11,6 +11,7 @@ from siltworks.functions import arrays as A
 from siltworks.functions import text as X
 from siltworks.operators import dedup as D
 from siltworks.operators import reports as R
+from siltworks.operators import rollouts as RO
 from siltworks.operators import sampling as S
 from siltworks.operators import traces as TR
 from siltworks.operators.filters import Rule, apply_rules, first_failure, in_half_open, score_at_least
@@ -138,13 +139,15 @@ def join4(spark, d):
 def join5(spark, d):
     q = table(spark, d, "eval_questions")
     ids = q.select("question_id", (F.row_number().over(Window.orderBy(S.draw(7, "question_id"))) - 1).alias("place"))
-    return D.ordered_subset(q, ids, "question_id", "place").select("question_id", "platform", "place")
+    return D.ordered_subset(q, ids, "question_id").select("question_id", "platform", "place")
 
 
-@query("join6_last_output", "WITH o AS (SELECT task_id, arg_max(sample_id, sample_id) AS sample_id, count(*) AS outputs FROM eval_samples WHERE task_id IS NOT NULL GROUP BY 1) SELECT t.task_id, o.sample_id, o.outputs FROM func_tasks t JOIN o USING (task_id)")
+@query("join6_last_output", "WITH o AS (SELECT task_id, arg_max(solution, sample_id) AS code, max(sample_id) AS sample_id, count(*) AS outputs FROM eval_samples WHERE task_id IS NOT NULL AND task_id IN (SELECT task_id FROM func_tasks) GROUP BY 1) SELECT task_id, prompt, o.sample_id, o.outputs FROM o JOIN func_tasks t USING (task_id)")
 def join6(spark, d):
-    last = table(spark, d, "eval_samples").where("task_id is not null").groupBy("task_id").agg(F.max("sample_id").alias("sample_id"), F.count("*").alias("outputs"))
-    return table(spark, d, "func_tasks").select("task_id").join(last, "task_id")
+    tasks = table(spark, d, "func_tasks").select("task_id", "prompt")
+    samples = D.keep_known(table(spark, d, "eval_samples").where("task_id is not null"), tasks, ["task_id"])
+    last = samples.groupBy("task_id").agg(F.max("sample_id").alias("sample_id"), F.count("*").alias("outputs"))
+    return D.inner_or_fail(last, tasks, "task_id").select("task_id", "prompt", "sample_id", "outputs")
 
 
 @query("join7_positional_zip", "SELECT row_id, (i - 1)::INT AS place, tests[i] AS test, passed_indices[i]::INT AS passed_index FROM (SELECT row_id, tests, passed_indices, unnest(generate_series(1, greatest(coalesce(len(tests), 0), coalesce(len(passed_indices), 0)))) AS i FROM scored_pool)")
@@ -167,16 +170,18 @@ def join9(spark, d):
 
 # --- filters ------------------------------------------------------------------------------------------------------
 
-_SCORES = "(VALUES (1, '0.95'), (2, '0.9'), (3, ' 0.9 '), (4, 'nan'), (5, 'abc'), (6, ''), (7, NULL), (8, '0.1'), (9, '1e0'))"
+_SCORE = "CASE WHEN row_id % 7 = 0 THEN 'NaN' WHEN row_id % 11 = 0 THEN 'n/a' WHEN row_id % 13 = 0 THEN ' ' || pass_rate::VARCHAR || ' ' ELSE {} END"
 
 
 @query(
     "flt1_2_score_nan",
-    f"SELECT id, coalesce(CASE WHEN isnan(x) THEN FALSE ELSE x >= 0.9 END, FALSE) AS drops_nan, coalesce(CASE WHEN isnan(x) THEN TRUE ELSE x >= 0.9 END, FALSE) AS keeps_nan FROM (SELECT id, try_cast(trim(s) AS DOUBLE) x FROM {_SCORES} v(id, s))",
+    f"SELECT row_id, coalesce(CASE WHEN isnan(x) THEN FALSE ELSE x >= 0.5 END, FALSE) AS drops_nan, coalesce(CASE WHEN isnan(x) THEN TRUE ELSE x >= 0.5 END, FALSE) AS keeps_nan FROM (SELECT row_id, try_cast(trim({_SCORE.format('pass_rate::VARCHAR')}) AS DOUBLE) x FROM scored_pool)",
 )
 def flt1(spark, d):
-    v = spark.sql(f"SELECT * FROM {_SCORES} AS v(id, s)")
-    return v.select("id", score_at_least(F.col("s"), 0.9, False).alias("drops_nan"), score_at_least(F.col("s"), 0.9, True).alias("keeps_nan"))
+    text = F.col("pass_rate").cast("string")
+    score = F.when(F.col("row_id") % 7 == 0, "NaN").when(F.col("row_id") % 11 == 0, "n/a").when(F.col("row_id") % 13 == 0, F.concat(F.lit(" "), text, F.lit(" "))).otherwise(text)
+    v = table(spark, d, "scored_pool").select("row_id", score.alias("s"))
+    return v.select("row_id", score_at_least(F.col("s"), 0.5, False).alias("drops_nan"), score_at_least(F.col("s"), 0.5, True).alias("keeps_nan"))
 
 
 @query("flt3_6_length_window", "SELECT row_id FROM code_instruct WHERE problem <> '' AND solution <> '' AND length(solution) >= 50 AND length(problem) + length(solution) <= 1200 AND length(problem) <= 16000")
@@ -416,20 +421,23 @@ def agg8(spark, d):
     return g.agg(F.min("prompt_tokens").alias("low"), F.floor(F.sum("prompt_tokens") / F.count("prompt_tokens")).alias("mean"), F.max("prompt_tokens").alias("high"))
 
 
-@query("agg9_10_rollouts", "SELECT task_id, count(*) AS n_samples, count(*) FILTER (WHERE ok) AS pass_count, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, max(sample_id) AS last_sample, string_agg(CASE WHEN ok THEN sample_id::VARCHAR END, ',' ORDER BY sample_id) AS passed FROM (SELECT DISTINCT task_id, sample_id, coalesce(solution LIKE '%return%', FALSE) AS ok FROM eval_samples WHERE task_id IS NOT NULL) GROUP BY 1")
+_JUDGED = "SELECT run_id, turn_index, arg_max(struct_pack(t := task_id, s := json_extract_string(obs_full, '$.status'), l := latency), logged_at) AS x FROM turns GROUP BY ALL"
+
+
+@query("agg9_10_rollouts", f"SELECT x.t AS task_id, count(*) AS n_samples, count(*) FILTER (WHERE x.s = 'pass') AS pass_count, round(avg(CASE WHEN x.s = 'pass' THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(coalesce(max(x.l), -1), 6) AS slowest, string_agg(CASE WHEN x.s = 'pass' THEN run_id || ':' || turn_index END, ',' ORDER BY run_id || ':' || turn_index) AS passed FROM ({_JUDGED}) GROUP BY 1")
 def agg9(spark, d):
-    s = table(spark, d, "eval_samples").where("task_id is not null").select("task_id", "sample_id", F.coalesce(F.col("solution").contains("return"), F.lit(False)).alias("ok")).distinct()
-    ids = F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("sample_id"))))
-    return s.groupBy("task_id").agg(
-        F.count("*").alias("n_samples"), F.count_if("ok").alias("pass_count"), F.round(R.rate(F.col("ok")), 6).alias("pass_rate"), F.max("sample_id").alias("last_sample"), F.nullif(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("")).alias("passed")
-    )
+    t = D.keep_last(table(spark, d, "turns").select("run_id", "turn_index", "task_id", "obs_full", "latency", "logged_at"), ["run_id", "turn_index"], "logged_at")
+    passed = F.coalesce(F.get_json_object("obs_full", "$.status") == "pass", F.lit(False))
+    scored = t.select("task_id", F.concat_ws(":", "run_id", F.col("turn_index").cast("string")).alias("rollout"), passed.alias("passed"), F.col("latency").alias("elapsed"))
+    out = RO.rollout_summary(scored)
+    return out.select("task_id", "n_samples", "pass_count", F.round("pass_rate", 6).alias("pass_rate"), F.round(F.coalesce("slowest", F.lit(-1.0)), 6).alias("slowest"), F.nullif(F.array_join("passed_indices", ","), F.lit("")).alias("passed"))
 
 
-@query("agg11_mean_by_facet", "SELECT difficulty, platform, grouping_id(difficulty, platform) AS facet, count(*) AS n, round(avg(p), 6) AS pass_at_1 FROM (SELECT lower(trim(difficulty)) AS difficulty, platform, length(question_content) % 3 = 0 AS ok, CASE WHEN length(question_content) % 3 = 0 THEN 1.0 ELSE 0.0 END AS p FROM eval_questions) GROUP BY GROUPING SETS ((difficulty), (platform), ())")
+@query("agg11_mean_by_facet", "SELECT benchmark, dataset, grouping_id(benchmark, dataset) AS facet, count(*) AS n, round(avg(p), 6) AS pass_at_1 FROM (SELECT run_id, any_value(task.benchmark) AS benchmark, any_value(task.dataset) AS dataset, CASE WHEN arg_max(final_status, created_at) = 'pass' THEN 1.0 ELSE 0.0 END AS p FROM traces GROUP BY 1) GROUP BY GROUPING SETS ((benchmark), (dataset), ())")
 def agg11(spark, d):
-    q = table(spark, d, "eval_questions").select(F.lower(F.trim("difficulty")).alias("difficulty"), "platform", F.when(F.length("question_content") % 3 == 0, 1.0).otherwise(0.0).alias("p"))
-    q.createOrReplaceTempView("graded__")
-    return spark.sql("SELECT difficulty, platform, grouping_id(difficulty, platform) AS facet, count(*) AS n, round(avg(p), 6) AS pass_at_1 FROM graded__ GROUP BY GROUPING SETS ((difficulty), (platform), ())")
+    runs = D.keep_last(table(spark, d, "traces").select("run_id", "task.benchmark", "task.dataset", "final_status", "created_at"), ["run_id"], "created_at")
+    means = R.facet_means(runs, F.when(F.col("final_status") == "pass", 1.0).otherwise(0.0), [["benchmark"], ["dataset"]])
+    return means.select("benchmark", "dataset", "facet", "n", F.round("mean", 6).alias("pass_at_1"))
 
 
 @query(
@@ -443,9 +451,7 @@ def agg12(spark, d):
 
 @query("agg13_repair_at_k", " UNION ALL ".join(f"SELECT {k} AS k, count(*) FILTER (WHERE p) AS passed, count(*) AS tasks, round(avg(CASE WHEN p THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT task_id, bool_or(coalesce(turn_index < {k} AND json_extract_string(obs_full, '$.status') = 'pass', FALSE)) AS p FROM turns GROUP BY 1)" for k in (1, 2, 3)))
 def agg13(spark, d):
-    turns = table(spark, d, "turns")
-    frames = [TR.repaired_within(turns, k).select(F.lit(k).alias("k"), "passed", "tasks", F.round("rate", 6).alias("rate")) for k in (1, 2, 3)]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return TR.repaired_at(table(spark, d, "turns"), [1, 2, 3]).select("k", "passed", "tasks", F.round("rate", 6).alias("rate"))
 
 
 @query("agg14_missing_as_failed", "SELECT count(*) AS tasks, count(*) FILTER (WHERE p) AS passed, round(avg(CASE WHEN p THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT f.task_id, coalesce(bool_or(t.final_status = 'pass'), FALSE) AS p FROM func_tasks f LEFT JOIN traces t ON t.task.task_id = f.task_id GROUP BY 1)")
@@ -506,14 +512,7 @@ def smp3(spark, d):
     "WITH g AS (SELECT c_mktsegment, c_nationkey, count(*) AS size FROM customer GROUP BY ALL), i AS (SELECT *, size / sum(size) OVER () * 600 AS ideal FROM g), f AS (SELECT *, greatest(1, least(size, floor(ideal)))::INT AS base FROM i), r AS (SELECT *, row_number() OVER (ORDER BY ideal - floor(ideal) DESC, size DESC, c_mktsegment DESC, c_nationkey DESC) AS place, 600 - sum(base) OVER () AS gap FROM f) SELECT c_mktsegment, c_nationkey, size, (base + CASE WHEN place <= gap THEN 1 ELSE 0 END)::INT AS quota FROM r",
 )
 def smp5(spark, d):
-    # the SQL breaks ties of remainder and size by the key columns; so do the quotas, as their keys are compared as text
-    counts = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("size"))
-    ideal = F.col("size") / F.sum("size").over(Window.partitionBy()) * 600
-    base = F.greatest(F.lit(1), F.least("size", F.floor("ideal"))).cast("int")
-    f = counts.withColumn("ideal", ideal).withColumn("base", base)
-    w = Window.orderBy(F.desc(F.col("ideal") - F.floor("ideal")), F.desc("size"), F.desc("c_mktsegment"), F.desc("c_nationkey"))  # one row a group
-    r = f.withColumn("place", F.row_number().over(w)).withColumn("gap", 600 - F.sum("base").over(Window.partitionBy()))
-    return r.select("c_mktsegment", "c_nationkey", "size", (F.col("base") + F.when(F.col("place") <= F.col("gap"), 1).otherwise(0)).alias("quota"))
+    return S.group_quotas(table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], 600)
 
 
 @query(
@@ -556,10 +555,7 @@ def smp10(spark, d):
 
 @query("win3_4_stop_after", "WITH b AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 100 AS batch FROM events), c AS (SELECT batch, coalesce(sum(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b GROUP BY 1) SELECT b.event_id, b.batch FROM b JOIN c USING (batch) WHERE before < 150")
 def win3(spark, d):
-    e = table(spark, d, "events").select("event_id", "event_type")
-    # event_id is dense from its least value on, so its blocks are the batches
-    first = e.agg(F.min("event_id").alias("first"))
-    e = e.crossJoin(F.broadcast(first)).withColumn("batch", F.floor((F.col("event_id") - F.col("first")) / 100))  # one row
+    e = S.numbered(table(spark, d, "events").select("event_id", "event_type"), "event_id").withColumn("batch", F.floor(F.col("place") / 100))
     return S.stop_after(e, "batch", F.col("event_type") == "error", 150).select("event_id", "batch")
 
 
@@ -619,31 +615,50 @@ def txt5(spark, d):
     return table(spark, d, "eval_samples").where("raw_output is not null").select("sample_id", X.fenced_code("raw_output").alias("code")).distinct()
 
 
+_W = "string_split_regex({0}, '\\s+')"
+_OPENS = "list_contains(list_transform([{w}], lambda w: (w[1] IN ('def', 'class') AND regexp_matches(coalesce(w[2], ''), '^\\w')) OR (w[1] = 'import' AND coalesce(w[2], '') <> '') OR (w[1] = 'from' AND coalesce(w[2], '') <> '' AND coalesce(w[3], '') = 'import' AND len(w) > 3)), TRUE)"
+
+
+def _opens(line: str) -> str:
+    return _OPENS.format(w=_W.format(line))
+
+
+def _from_line(text: str, begins: str) -> str:
+    """The text from the first line l for which `begins` holds."""
+    lines = f"string_split({text}, chr(10))"
+    return f"list_aggregate({lines}[nullif(list_position(list_transform({lines}, lambda l: {begins}), TRUE), 0):], 'string_agg', chr(10))"
+
+
 _FENCED, _PLAIN = r"'(?is)```python\s*(.*?)```'", r"'(?s)```\s*(.*?)```'"
-_SIGN, _LINE = r"'\b(def|class)\s+\w+|\bimport\s+\S+|\bfrom\s+\S+\s+import\b'", r"'(?ms)^((?:from\s+\S+\s+import\s+|import\s+\S+|class\s+\w+|def\s+\w+).*)'"
+_PLAIN_CODE = f"regexp_extract(t, {_PLAIN}, 1)"
+_HOLDS = f"list_contains(list_transform(list_zip(list_transform({_W.format(_PLAIN_CODE)}, lambda w: regexp_replace(w, '^\\W+', '')), list_transform({_W.format(_PLAIN_CODE)}, lambda w: regexp_replace(w, '^\\W+', ''))[2:]), lambda z: (z[1] IN ('def', 'class') AND regexp_matches(coalesce(z[2], ''), '^\\w')) OR (z[1] = 'import' AND coalesce(z[2], '') <> '')), TRUE)"
 
 
 @query(
     "txt6_lenient_code",
-    f"SELECT DISTINCT sample_id, nullif(CASE WHEN regexp_matches(t, {_FENCED}) THEN {strip(f'regexp_extract(t, {_FENCED}, 1)')} WHEN regexp_matches(t, {_PLAIN}) AND regexp_matches(regexp_extract(t, {_PLAIN}, 1), {_SIGN}) THEN {strip(f'regexp_extract(t, {_PLAIN}, 1)')} WHEN regexp_matches(t, {_LINE}) THEN {strip(f'regexp_extract(t, {_LINE}, 1)')} END, '') AS code FROM (SELECT sample_id, {_TAIL} t FROM eval_samples WHERE raw_output IS NOT NULL)",
+    f"SELECT DISTINCT sample_id, nullif(CASE WHEN regexp_matches(t, {_FENCED}) THEN {strip(f'regexp_extract(t, {_FENCED}, 1)')} WHEN regexp_matches(t, {_PLAIN}) AND {_HOLDS} THEN {strip(_PLAIN_CODE)} ELSE {strip(_from_line('t', _opens('l')))} END, '') AS code FROM (SELECT sample_id, {_TAIL} t FROM eval_samples WHERE raw_output IS NOT NULL)",
 )
 def txt6(spark, d):
     return table(spark, d, "eval_samples").where("raw_output is not null").select("sample_id", X.lenient_code("raw_output").alias("code")).distinct()
 
 
 _BARE = strip("CASE WHEN contains(raw_output, '</think>') THEN regexp_replace(raw_output, '(?s)<think>.*?</think>', '', 'g') ELSE regexp_replace(raw_output, '(?s)<think>.*', '') END")
-_ANY_FENCE, _START = r"'(?is)```(?:python|py)?\s*\n?(.*?)(?:```|$)'", r"'(?ms)^[ \t]*((?:from\s+\S+\s+import\s+\S+|import\s+\S+|(?:class|def)\s+[A-Za-z_]\w*|if\s+__name__\s*==).*)'"
+_ANY_FENCE = r"'(?is)```(?:python|py)?\s*\n?(.*?)(?:```|$)'"
 
 
 @query(
     "txt8_last_fence",
-    f"SELECT DISTINCT sample_id, CASE WHEN len(blocks) > 0 THEN replace(blocks[-1], chr(13) || chr(10), chr(10)) WHEN regexp_matches(t, {_START}) THEN {strip(f'regexp_extract(t, {_START}, 1)')} ELSE t END AS code FROM (SELECT sample_id, t, list_filter(list_transform(regexp_extract_all(t, {_ANY_FENCE}, 1), lambda s: {strip('s')}), lambda s: s <> '') AS blocks FROM (SELECT sample_id, {_BARE} AS t FROM eval_samples WHERE raw_output IS NOT NULL))",
+    f"SELECT DISTINCT sample_id, CASE WHEN len(blocks) > 0 THEN replace(blocks[-1], chr(13) || chr(10), chr(10)) ELSE coalesce({strip(_from_line('t', _opens('ltrim(l)') + " OR regexp_matches(ltrim(l), '^if\\s+__name__\\s*==')"))}, t) END AS code FROM (SELECT sample_id, t, list_filter(list_transform(regexp_extract_all(t, {_ANY_FENCE}, 1), lambda s: {strip('s')}), lambda s: s <> '') AS blocks FROM (SELECT sample_id, {_BARE} AS t FROM eval_samples WHERE raw_output IS NOT NULL))",
 )
 def txt8(spark, d):
     return table(spark, d, "eval_samples").where("raw_output is not null").select("sample_id", X.last_fence("raw_output").alias("code")).distinct()
 
 
-@query("txt9_target_function", r"SELECT task_id, CASE WHEN regexp_matches(prompt, 'def\s+(\w+)\s*\(') THEN regexp_extract(prompt, 'def\s+(\w+)\s*\(', 1) WHEN regexp_matches(prompt, 'assert\s+(\w+)\s*\(') AND regexp_extract(prompt, 'assert\s+(\w+)\s*\(', 1) NOT IN ('math', 'not') THEN regexp_extract(prompt, 'assert\s+(\w+)\s*\(', 1) WHEN regexp_matches(prompt, 'assert\s+(?:not\s+|math\.\w+\s*\(\s*|\(\s*)(\w+)\s*\(') THEN regexp_extract(prompt, 'assert\s+(?:not\s+|math\.\w+\s*\(\s*|\(\s*)(\w+)\s*\(', 1) END AS target FROM func_tasks")
+_CALLS = r"""WITH c AS (SELECT task_id, generate_subscripts(name, 1) AS i, unnest(head) AS head, unnest(wrap) AS wrap, unnest(name) AS name FROM (SELECT task_id, regexp_extract_all(prompt, p, 1) AS head, regexp_extract_all(prompt, p, 2) AS wrap, regexp_extract_all(prompt, p, 3) AS name FROM func_tasks, (SELECT '\b(?:(def)\s+|assert\s+((?:not\s+|math\.\w+\s*\(\s*|\(\s*)?))(\w+)\s*\(' AS p))),
+k AS (SELECT *, CASE WHEN coalesce(head, '') <> '' THEN 0 WHEN coalesce(wrap, '') = '' AND name NOT IN ('math', 'not') THEN 1 WHEN coalesce(wrap, '') <> '' THEN 2 END AS kind FROM c)"""
+
+
+@query("txt9_target_function", _CALLS + " SELECT task_id, first(name ORDER BY kind, i) AS target FROM (SELECT t.task_id, k.name, k.kind, k.i FROM func_tasks t LEFT JOIN k ON t.task_id = k.task_id AND k.kind IS NOT NULL) GROUP BY task_id")
 def txt9(spark, d):
     return table(spark, d, "func_tasks").select("task_id", X.target_function("prompt").alias("target"))
 
@@ -674,7 +689,8 @@ def txt13(spark, d):
 
 @query("txt14_recovered_submission", None)
 def txt14(spark, d):
-    t = table(spark, d, "turns").where("recovery_used and recovery_raw_output is not null").select("run_id", "turn_index", X.recovered_submission("recovery_raw_output").alias("p")).distinct()
+    said = F.coalesce("recovery_raw_output", "raw_output")
+    t = table(spark, d, "turns").where(said.isNotNull()).select("run_id", "turn_index", X.recovered_submission(said).alias("p")).distinct()
     return t.select("run_id", "turn_index", "p.submit", "p.status", "p.error_type")
 
 
@@ -698,13 +714,12 @@ def txt19(spark, d):
     return table(spark, d, "eval_samples").where("solution is not null").select("sample_id", X.plain_output("solution").alias("plain")).distinct()
 
 
-_ERRORS = "(VALUES (1, 'Traceback: SyntaxError: bad'), (2, 'AssertionError'), (3, 'ValueError: x'), (4, 'IndentationError: y'), (5, ''))"
-
-
-@query("txt20_21_error_lines", f"SELECT id, kind, concat_ws(' ', 'status=fail', 'error_type=' || kind, CASE WHEN id > 2 THEN 'case_index=' || id END) AS line FROM (SELECT id, CASE WHEN contains(e, 'SyntaxError') OR contains(e, 'IndentationError') THEN 'syntax_error' WHEN contains(e, 'AssertionError') THEN 'wrong_answer' ELSE 'runtime_error' END AS kind FROM {_ERRORS} v(id, e))")
+@query("txt20_21_error_lines", "SELECT run_id, turn_index, kind, concat_ws(' ', 'status=fail', 'error_type=' || kind, CASE WHEN turn_index > 0 THEN 'case_index=' || turn_index END) AS line FROM (SELECT DISTINCT run_id, turn_index, CASE WHEN contains(e, 'SyntaxError') OR contains(e, 'IndentationError') THEN 'syntax_error' WHEN contains(e, 'AssertionError') THEN 'wrong_answer' ELSE 'runtime_error' END AS kind FROM (SELECT run_id, turn_index, coalesce(obs_for_model, '') || CASE json_extract_string(obs_full, '$.error_type') WHEN 'syntax_error' THEN ' SyntaxError' WHEN 'wrong_answer' THEN ' AssertionError' ELSE '' END AS e FROM turns))")
 def txt20(spark, d):
-    v = spark.sql(f"SELECT * FROM {_ERRORS} AS v(id, e)").select("id", X.error_class("e").alias("kind"))
-    return v.select("id", "kind", X.failure_line("kind", F.when(F.col("id") > 2, F.concat(F.lit("case_index="), F.col("id").cast("string")))).alias("line"))
+    error = F.get_json_object("obs_full", "$.error_type")
+    e = F.concat(F.coalesce("obs_for_model", F.lit("")), F.when(error == "syntax_error", " SyntaxError").when(error == "wrong_answer", " AssertionError").otherwise(""))
+    v = table(spark, d, "turns").select("run_id", "turn_index", X.error_class(e).alias("kind")).distinct()
+    return v.select("run_id", "turn_index", "kind", X.failure_line("kind", F.when(F.col("turn_index") > 0, F.concat(F.lit("case_index="), F.col("turn_index").cast("string")))).alias("line"))
 
 
 @query("txt22_23_contract", "SELECT row_id, CASE WHEN coalesce(len(required_symbols), 0) = 0 OR contains(q, 'Your solution must define') THEN q ELSE regexp_replace(q, '\\s+$', '') || chr(10) || chr(10) || 'Your solution must define these top-level names: ' || list_aggregate(list_transform(required_symbols, lambda x: '`' || x || '`'), 'string_agg', ', ') || '.' END AS prompt, CASE WHEN coalesce(len(passed_indices), 0) = 0 THEN '-' ELSE list_aggregate(list_transform(passed_indices[1:3], lambda x: x::VARCHAR), 'string_agg', ',') || CASE WHEN len(passed_indices) > 3 THEN ',...' ELSE '' END END AS shown FROM (SELECT *, list_extract(list_filter(messages, lambda m: m.role = 'user'), 1).content AS q FROM scored_pool) WHERE q IS NOT NULL")
@@ -715,19 +730,17 @@ def txt22(spark, d):
 
 # --- arrays, dates, rewards ---------------------------------------------------------------------------------------
 
-_TESTS = """(VALUES (1, '["assert f(1)", " assert g()", "x = 1; assert x"]'), (2, 'nonsense'), (3, NULL), (4, '{"a": 1}'), (5, '[]'))"""
-
-
 _LISTED = "CASE WHEN json_valid(s) AND json_type(s) = 'ARRAY' THEN from_json(s, '[\"VARCHAR\"]') ELSE [] END"
 
 
 @query(
     "arr1_test_lists",
-    f"SELECT id, coalesce(list_aggregate(list_filter(list_transform(l, lambda t: {strip('t')}), lambda t: starts_with(t, 'assert')), 'string_agg', '|'), '') AS starting, coalesce(list_aggregate(list_transform(list_filter(l, lambda t: contains(t, 'assert')), lambda t: {strip('t')}), 'string_agg', '|'), '') AS containing FROM (SELECT id, {_LISTED} AS l FROM {_TESTS} v(id, s))",
+    f"SELECT row_id, coalesce(list_aggregate(list_filter(list_transform(l, lambda t: {strip('t')}), lambda t: starts_with(t, 'assert')), 'string_agg', '|'), '') AS starting, coalesce(list_aggregate(list_transform(list_filter(l, lambda t: contains(t, 'assert')), lambda t: {strip('t')}), 'string_agg', '|'), '') AS containing FROM (SELECT row_id, {_LISTED} AS l FROM (SELECT row_id, CASE WHEN row_id % 5 = 0 THEN 'nonsense' WHEN row_id % 7 = 0 THEN NULL ELSE to_json(tests)::VARCHAR END AS s FROM scored_pool))",
 )
 def arr1(spark, d):
-    v = spark.sql(f"SELECT * FROM {_TESTS} AS v(id, s)")
-    return v.select("id", F.array_join(A.asserts_at_start("s"), "|").alias("starting"), F.array_join(A.asserts_anywhere("s"), "|").alias("containing"))
+    text = F.when(F.col("row_id") % 5 == 0, "nonsense").when(F.col("row_id") % 7 == 0, None).otherwise(F.to_json("tests"))
+    v = table(spark, d, "scored_pool").select("row_id", text.alias("s"))
+    return v.select("row_id", F.array_join(A.asserts_at_start("s"), "|").alias("starting"), F.array_join(A.asserts_anywhere("s"), "|").alias("containing"))
 
 
 @query("arr4_5_cases", f"SELECT question_id, len(pub)::INT AS public_cases, len(list_concat(pub, priv))::INT AS all_cases, (CASE WHEN len(priv) > 0 THEN priv ELSE pub END)[1].output AS first_hidden FROM (SELECT question_id, coalesce({_CASES.format('public_test_cases')}, []) pub, coalesce({_CASES.format('private_test_cases')}, []) priv FROM eval_questions)")
@@ -778,20 +791,20 @@ def mth1(spark, d):
     return c.select("source", "n", F.round(F.try_divide(F.col("n"), total), 6).alias("share"), F.floor(F.col("n") / total * 100).alias("floor_quota"))
 
 
-_NUMBERS = "(VALUES (1, 1.0, 1.0000005), (2, 1.0, 1.1), (3, 1e9, 1e9 + 500), (4, 0.0, 1e-7), (5, 0.0, 1e-5))"
+@query("mth3_tolerance", "SELECT row_id, abs(a - b) <= greatest(1e-6 * greatest(abs(a), abs(b)), 1e-6) AS equal FROM (SELECT row_id, pass_rate AS a, pass_count::DOUBLE / nullif(n_samples, 0) + CASE WHEN row_id % 3 = 0 THEN 1e-5 ELSE 1e-9 END AS b FROM scored_pool)")
+def mth3(spark, d):
+    b = F.try_divide(F.col("pass_count").cast("double"), F.col("n_samples")) + F.when(F.col("row_id") % 3 == 0, 1e-5).otherwise(1e-9)
+    return table(spark, d, "scored_pool").select("row_id", X.nearly_equal("pass_rate", b).alias("equal"))
 
 
-@query("mth3_tolerance", f"SELECT id, abs(a::DOUBLE - b::DOUBLE) <= greatest(1e-6 * greatest(abs(a::DOUBLE), abs(b::DOUBLE)), 1e-6) AS equal FROM {_NUMBERS} v(id, a, b)")
-def mth3(spark, d):
-    v = spark.sql(f"SELECT id, cast(a AS double) a, cast(b AS double) b FROM {_NUMBERS} AS v(id, a, b)")
-    return v.select("id", X.nearly_equal("a", "b").alias("equal"))
+_FENCE_THINK = "CASE WHEN contains(x, '```python') AND contains(x, '<think>') AND contains(x, '</think>') THEN 0.5 WHEN contains(x, '```python') THEN 0.3 ELSE 0.0 END"
 
 
-@query("mth4_rewards", "SELECT gen_id, max(CASE WHEN contains(text, '<think>') AND contains(text, '</think>') AND contains(text, '```python') THEN 0.5 WHEN contains(text, '```python') THEN 0.3 ELSE 0.0 END)::DOUBLE AS format_reward FROM generations WHERE text IS NOT NULL GROUP BY 1")
+@query("mth4_rewards", "SELECT run_id, turn_index, (CASE WHEN ok THEN 1.0 ELSE 0.0 END)::DOUBLE AS execution, (" + _FENCE_THINK + ")::DOUBLE AS format, (CASE WHEN NOT ok THEN 0.0 WHEN regexp_matches(" + strip("x") + r", '(?is)^\s*<think>\s*(.*?)\s*</think>\s*```python\s*(.*?\S.*?)```\s*$') THEN 2.5 ELSE 2.0 END)::DOUBLE AS gated FROM (SELECT run_id, turn_index, r.x AS x, coalesce(r.s = 'pass', FALSE) AS ok FROM (SELECT run_id, turn_index, arg_max(struct_pack(x := raw_output, s := json_extract_string(obs_full, '$.status')), logged_at) AS r FROM turns GROUP BY ALL)) WHERE x IS NOT NULL")
 def mth4(spark, d):
-    t = F.col("text")
-    reward = F.when(t.contains("<think>") & t.contains("</think>") & t.contains("```python"), 0.5).when(t.contains("```python"), 0.3).otherwise(0.0)
-    return table(spark, d, "generations").where("text is not null").groupBy("gen_id").agg(F.max(reward).alias("format_reward"))
+    t = D.keep_last(table(spark, d, "turns").select("run_id", "turn_index", "raw_output", "obs_full", "logged_at"), ["run_id", "turn_index"], "logged_at").where("raw_output is not null")
+    passed, text = F.get_json_object("obs_full", "$.status") == "pass", F.col("raw_output")
+    return t.select("run_id", "turn_index", RO.execution_reward(passed).alias("execution"), RO.format_reward(text).alias("format"), RO.gated_reward(passed, text).alias("gated"))
 
 
 # --- traces -------------------------------------------------------------------------------------------------------
@@ -815,7 +828,7 @@ def trc2(spark, d):
     return t.select("run_id", F.col("task.task_id").alias("task_id"), "model", F.size("turns").alias("turns"), TR.tagged_text(F.col("task.prompt"), F.col("turns")).alias("text"))
 
 
-@query("trc4_final_status", "WITH o AS (SELECT DISTINCT ON (run_id, turn_index) run_id, turn_index, json_extract_string(obs_full, '$.status') AS s FROM turns ORDER BY run_id, turn_index, logged_at DESC) SELECT run_id, coalesce(arg_max(s, turn_index) FILTER (WHERE s IN ('pass', 'fail')), 'running') AS final_status FROM o GROUP BY 1")
+@query("trc4_final_status", "WITH o AS (SELECT DISTINCT ON (run_id, turn_index) run_id, turn_index, json_extract_string(obs_full, '$.status') AS s FROM turns ORDER BY run_id, turn_index, logged_at DESC) SELECT run_id, CASE WHEN arg_max(coalesce(s, ''), turn_index) = 'pass' THEN 'pass' ELSE 'fail' END AS final_status FROM o GROUP BY 1")
 def trc4(spark, d):
     t = TR.assembled(table(spark, d, "traces"), table(spark, d, "turns")).where(F.size("turns") > 0)
     return t.select("run_id", TR.final_status(F.col("turns")).alias("final_status"))
@@ -852,9 +865,9 @@ def prj13(spark, d):
     return A.case_rows(q).select("question_id", F.size("cases").alias("cases"))
 
 
-@query("prj5_stringified", "SELECT row_id, coalesce(to_json(sampling)::VARCHAR, '') <> '' AS has_sampling, coalesce(" + strip("source") + ", '') AS source FROM scored_pool")
+@query("prj5_stringified", "SELECT row_id, coalesce(CASE WHEN sampling IS NOT NULL THEN json_merge_patch('{}', json_object('enable_thinking', sampling.enable_thinking, 'max_tokens', sampling.max_tokens, 'system_prompt_mode', sampling.system_prompt_mode, 'temperature', sampling.temperature, 'top_k', sampling.top_k, 'top_p', sampling.top_p))::VARCHAR END, '') AS sampling, coalesce(" + strip("source") + ", '') AS source FROM scored_pool")
 def prj5(spark, d):
-    return table(spark, d, "scored_pool").select("row_id", (A.stringified(F.col("sampling"), False) != "").alias("has_sampling"), A.stringified(F.col("source"), True).alias("source"))
+    return table(spark, d, "scored_pool").select("row_id", A.stringified(F.col("sampling"), False).alias("sampling"), A.stringified(F.col("source"), True).alias("source"))
 
 
 @query("flt23_25_clean_failures", _TURNS_SQL + "SELECT run_id, fails::INT AS failed, clean FROM r")
@@ -920,18 +933,6 @@ def str2(spark, d):
 
 # --- code ---------------------------------------------------------------------------------------------------------
 
-_SNIPPETS = [
-    (1, "def f(x):\n    return x + 1", ["assert f(1) == 2", "assert f(2) == 3"]),
-    (2, "def f(x):\n    return x", ["assert f(1) == 2", "assert f(0) == 0"]),
-    (3, "def f(x) return x", ["assert f(1) == 1"]),
-    (4, "import math\ndef f(x):\n    return 1 / x", ["assert f(0) == 0", "assert math.floor(f(1)) == 1"]),
-]
-
-
-def _snippets(spark):
-    return spark.createDataFrame(_SNIPPETS, "id int, code string, tests array<string>")
-
-
 @query("udf3_6_symbols", None)
 def udf3(spark, d):
     from siltworks.functions import code as C
@@ -955,15 +956,13 @@ def txt12(spark, d):
     return table(spark, d, "eval_samples").where("raw_output is not null").select("sample_id", C.code_candidate("raw_output").alias("code")).distinct()
 
 
-@query("udf1_2_execution", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE), (4, FALSE)) v(id, passed)")
+@query("udf1_2_rollouts", None)
 def udf1(spark, d):
-    from siltworks.functions import code as C
+    rollouts = table(spark, d, "eval_samples").where("task_id is not null and raw_output is not null").select("task_id", F.col("sample_id").alias("rollout"), F.col("raw_output").alias("completion")).distinct()
+    return RO.score_rollouts(rollouts, table(spark, d, "func_tasks")).select("task_id", "rollout", "passed", "status", "output_chars", "code_chars")
 
-    return _snippets(spark).select("id", C.runs_all("code", "tests").alias("passed"))
-
-
-@query("udf7_12_verdicts", "SELECT * FROM (VALUES (1, 'pass', NULL, 2, 0), (2, 'fail', 'wrong_answer', 1, 1), (3, 'fail', 'syntax_error', 0, 1), (4, 'fail', 'runtime_error', 1, 1)) v(id, status, error_type, passed, failed)")
-def udf7(spark, d):
-    from siltworks.functions import code as C
 
-    return _snippets(spark).select("id", C.function_verdict("code", "tests").alias("v")).select("id", "v.*")
+@query("udf7_12_14_rejudged", None)
+def udf14(spark, d):
+    t = D.keep_last(table(spark, d, "turns").select("run_id", "turn_index", "task_id", "parsed_submit", "logged_at"), ["run_id", "turn_index"], "logged_at")
+    return RO.rejudged(t, table(spark, d, "func_tasks")).select("run_id", "turn_index", "status", "error_type")

@@ -36,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = "file://" + os.path.join(tempfile.gettempdir(), f"siltworks-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not context.getCheckpointDir():
@@ -43,6 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def job_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application alone."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; it outlives any executor."""
     shared_folder(df.sparkSession)
@@ -69,7 +76,7 @@ def ship_package(spark: SparkSession) -> None:
 
 def write_shared(spark: SparkSession, name: str, payload: bytes) -> str:
     """Write bytes into the shared folder, under a name of their own, through Hadoop's file system; returns the URI."""
-    uri = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}-{name}"
+    uri = f"{job_folder(spark)}/files/{uuid.uuid4().hex}-{name}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(uri)
     stream = path.getFileSystem(conf).create(path, True)
@@ -82,14 +89,14 @@ def write_shared(spark: SparkSession, name: str, payload: bytes) -> str:
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows written once as parquet into the shared folder and read from there: lineage is cut, columns stay prunable."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}-{name}"
+    path = f"{job_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sweep_shared(spark: SparkSession) -> None:
-    """Remove the tables and files that operators wrote into the shared folder; call it once their results are stored."""
+    """Remove the tables and files that operators of this application wrote into the shared folder; call it once their results are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in ("tables", "files"):
-        path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{job_folder(spark)}/{name}")
         path.getFileSystem(conf).delete(path, True)

@@ -48,6 +48,23 @@ def read_splits(spark: SparkSession, paths: list[str], reader=None) -> DataFrame
     return out
 
 
+def resolve_version(spark: SparkSession, base: str, name: str | None, tag: str, suffix: str = ".parquet") -> str:
+    """The path of a named configuration below `base`, else that of the version tag; neither is an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    tried = [f"{base}/{n}{suffix}" for n in (name, tag) if n]
+    for candidate in tried:
+        path = jvm.org.apache.hadoop.fs.Path(candidate)
+        if path.getFileSystem(conf).exists(path):
+            return candidate
+    raise FileNotFoundError(f"none of {tried}")
+
+
+def read_version(spark: SparkSession, base: str, name: str | None, tag: str, limit: int | None = None) -> DataFrame:
+    """The table that resolve_version finds, with at most `limit` rows if that is given."""
+    df = spark.read.parquet(resolve_version(spark, base, name, tag))
+    return df if limit is None else df.limit(limit)
+
+
 def decode_complex(c: Column) -> Column:
     """A tagged JSON object {"type": "complex", "real": x, "imag": y} as a struct; other values give null."""
     parsed = F.from_json(c, "type string, real double, imag double")
@@ -92,6 +109,23 @@ def write_json_atomically(path: str, value: Any) -> None:
         raise
 
 
+def write_evaluation(graded: DataFrame, prefix: str, key: str, codes: str, verdicts: str, facets: list[str]) -> dict[str, Any]:
+    """The four parts of an evaluation: outputs, pass rates per item, all of it, and a summary of pass@1 by facet; returns the summary.
+
+    graded: one row an item with its list of codes and its list of verdicts. The three tables are folders of JSON lines, the summary a file.
+    """
+    passed = F.avg(F.aggregate(verdicts, F.lit(0.0), lambda n, v: n + v.cast("double")) / F.greatest(F.size(verdicts), F.lit(1)))
+    rate = F.aggregate(verdicts, F.lit(0.0), lambda n, v: n + v.cast("double")) / F.greatest(F.size(verdicts), F.lit(1))
+    write_json_lines(graded.select(key, codes), f"{prefix}_output")
+    write_json_lines(graded.select(key, rate.alias("pass_rate")), f"{prefix}_eval")
+    write_json_lines(graded, f"{prefix}_eval_all")
+    summary: dict[str, Any] = {"items": graded.count(), "pass_at_1": graded.agg(passed.alias("m")).first()["m"]}
+    for f in facets:  # a facet has few values
+        summary[f"by_{f}"] = {str(r[f]): r["m"] for r in graded.groupBy(f).agg(passed.alias("m")).orderBy(f).collect()}
+    write_json_atomically(f"{prefix}_score_summary.json", summary)
+    return summary
+
+
 def subset_ids(value: Any, unique: bool = True) -> list[str]:
     """Ids of a subset file: {"question_ids": [...]}, {"questions": [{"question_id": ...}]} or a list of either."""
     if isinstance(value, dict):

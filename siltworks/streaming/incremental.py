@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators.dedup import remove_known
+from siltworks.session import job_folder, materialise
 
 
 def score_incrementally(pool: DataFrame, log_path: str, key: str, score: Callable[[DataFrame], DataFrame], eligible: Column, wanted: int | None = None, batch_rows: int = 1000) -> int:
@@ -16,22 +18,25 @@ def score_incrementally(pool: DataFrame, log_path: str, key: str, score: Callabl
     Rows are taken in the order of their key's hash, so a run that is resumed goes on where it stopped. Returns the eligible rows.
     """
     spark = pool.sparkSession
-    batches = F.pmod(F.xxhash64(key), F.lit(max(1, -(-pool.count() // batch_rows)))).alias("batch__")
-    numbered = pool.withColumn("batch__", batches)
-    done = 0
-    for b in range(max(1, -(-pool.count() // batch_rows))):
-        try:
-            log = spark.read.parquet(log_path)
-            done = log.where(eligible).count()
-            todo = remove_known(numbered.where(F.col("batch__") == b), log, [key])
-        except Exception as e:  # the log does not exist yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            todo = numbered.where(F.col("batch__") == b)
+    done, todo = 0, pool
+    try:
+        log = spark.read.parquet(log_path)
+        done, todo = log.where(eligible).count(), remove_known(pool, log, [key])
+    except Exception as e:  # the log does not exist yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    # what is left is numbered and stored once by batch, so that a batch reads its own rows only
+    count = max(1, -(-todo.count() // batch_rows))
+    path = f"{job_folder(spark)}/tables/{uuid.uuid4().hex}-batches"
+    todo.withColumn("batch__", F.pmod(F.xxhash64(key), F.lit(count))).write.partitionBy("batch__").parquet(path)
+    batches = spark.read.parquet(path)
+    for b in range(count):
         if wanted is not None and done >= wanted:
-            return done
-        score(todo.drop("batch__")).write.mode("append").parquet(log_path)
-    return spark.read.parquet(log_path).where(eligible).count()
+            break
+        scored = materialise(score(batches.where(F.col("batch__") == b).drop("batch__")), "scored")
+        scored.write.mode("append").parquet(log_path)
+        done += scored.where(eligible).count()
+    return done
 
 
 def append_new(stream: DataFrame, log_path: str, key: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df):

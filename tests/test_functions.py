@@ -183,7 +183,7 @@ def test_symbols():
     tests = ["assert f(1) == g(2)", "x = math.sqrt(2)\nassert f(x)", "assert len(y)", "broken ("]
     assert C.symbols_needed(tests) == ["f", "g"]
     assert C.standing_alone(tests) == tests[:2]
-    assert C.bound_names(C._tree("import a.b as c\nfrom d import e\ndef f(): pass\ntry: pass\nexcept E as g: h = 1")) == {"c", "e", "f", "g", "h"}
+    assert C.bound_names("import a.b as c\nfrom d import e\ndef f(p): pass\ntry: pass\nexcept E as g: h = 1") == {"c", "e", "f", "g", "h"}
 
 
 def test_trimmed_code():
@@ -203,3 +203,52 @@ def test_judges():
     module = "from solution import f\nimport pytest\n@pytest.mark.parametrize('a,b', [(1, 2), (2, 3)])\ndef test_a(a, b):\n    assert f(a) == b\ndef test_b():\n    with pytest.raises(TypeError):\n        f('x')\ndef test_c():\n    assert f(0.1) == pytest.approx(1.1)\n"
     assert C.judge_module(code, module) == {"status": "pass", "error_type": None, "passed": 3, "failed": 0}
     assert C.judge_module("def f(x): return x", module)["status"] == "fail"
+
+
+def test_names_come_from_scopes_and_calls_from_one_walk():
+    assert C.bound_names("def (") == set()
+    assert C.symbols_needed(["assert a.b(c)(d) and e.f()", "for g in h(): g()"]) == ["a", "e", "h"]
+    assert C.symbols_needed(["with tempfile.TemporaryDirectory() as t: unittest.main(); pathlib.Path(t); sqlite3.connect(t)"]) == []
+
+
+def test_code_is_told_by_lines_and_words(spark):
+    for line, yes in {"def f(": True, "class A:": True, "import os": True, "from a import b": True, "from here we import": False, "define x": False, "import": False, " def f": False, "from a import": False}.items():
+        assert one(spark, X.opens_code(F.col("s")), s=line) is yes, line
+    assert one(spark, X.holds_code(F.col("s")), s="so (import os)") and not one(spark, X.holds_code(F.col("s")), s="a class")
+    assert one(spark, X.last_fence("t"), t="```\n\n```\nThen\n```python\nx = 1") == "x = 1"
+    assert one(spark, X.last_fence("t"), t="see\n  if __name__ == '__main__':\n    f()").startswith("if __name__")
+    block = "```python\ndef g(): pass\n```\n```python\ndef f(): pass\n```\n```python\nx = 1\n```"
+    assert one(spark, X.best_block("t", F.lit("f")), t=block) == "def f(): pass" and one(spark, X.best_block("t", F.lit("q")), t=block) == "def f(): pass"
+    assert one(spark, X.best_block("t", F.lit("f")), t="```\na\n```\n```\nb\n```") == "b"
+    assert one(spark, X.recovered_submission("t"), t="n = int(sys.stdin.read())").status == "ok" and one(spark, X.recovered_submission("t"), t="just words").error_type == "missing_submit"
+
+
+def test_messages_and_lists(spark):
+    m = [("system", "s"), ("user", "ask "), ("user", "more")]
+    df = spark.createDataFrame([(m, ["f"], [], None)], "m array<struct<role:string,content:string>>, n array<string>, e array<string>, z array<string>")
+    r = df.select(A.with_contract_message("m", "n").alias("m"), A.first_filled(F.col("z"), F.col("e"), F.col("n")).alias("l"), A.first_filled(F.col("z")).alias("none"), A.prompt_messages("sys", F.lit("q"), F.col("n")).alias("p")).first()
+    assert r.m[1].content == "ask\n\nYour solution must define these top-level names: `f`." and r.m[2].content == "more"
+    assert r.l == ["f"] and r.none == [] and r.p[0].content == "sys" and "`f`" in r.p[1].content
+    assert one(spark, A.stringified(F.struct(F.lit(1).alias("b"), F.lit("x").alias("a")), False), q=1) == '{"a":"x","b":1}'
+
+
+def test_judges_on_frames(spark):
+    case = "array<struct<input:string,output:string>>"
+    df = spark.createDataFrame(
+        [(1, "print(int(input()) * 2)", [("2", "4"), ("3", "6")], "f"), (2, "print(1", [("2", "4")], "f"), (3, "print(0)", [("2", "4")], "f")], f"id int, code string, cases {case}, name string"
+    )
+    got = {r.id: (r.v.status, r.v.error_type, r.v.passed) for r in df.select("id", C.stdio_verdict("code", "cases").alias("v")).collect()}
+    assert got == {1: ("pass", None, 2), 2: ("fail", "syntax_error", 0), 3: ("fail", "wrong_answer", 0)}
+    calls = spark.createDataFrame([(1, "def f(a): return a + 1", [("1", "2")], "f"), (2, "class Solution:\n    def f(self, a): return a", [("1", "2")], "f")], f"id int, code string, cases {case}, name string")
+    assert {r.id: r.v.status for r in calls.select("id", C.call_verdict("code", "name", "cases").alias("v")).collect()} == {1: "pass", 2: "fail"}
+    pair = spark.createDataFrame([(1, "def f(x): return x", "def f(x): return abs(x)", "f", "[1, [2]]"), (2, "def f(x): return x", "def f(x): return abs(x)", "f", "[-1]")], "id int, code string, other string, name string, inputs string")
+    assert {r.id: r.v.error_type for r in pair.select("id", C.differential_verdict("code", "other", "name", "inputs").alias("v")).collect()} == {1: None, 2: "wrong_answer"}
+    module = spark.createDataFrame([("def f(x): return x + 1", "from solution import f\ndef test_a():\n    assert f(1) == 2\ndef test_b():\n    assert f(1) == 3\n")], "code string, tests string")
+    v = module.select(C.module_verdict("code", "tests").alias("v")).first().v
+    assert (v.status, v.passed, v.failed) == ("fail", 1, 1)
+    C.register_all(spark)
+    assert spark.sql("SELECT runs_all('x = 1', array('assert x == 1')) AS ok").first().ok
+
+
+def test_a_killed_process_is_resumed():
+    assert C.judge_functions("def f(x):\n    while x: pass\n    return 1", ["assert f(0) == 1", "f(1)", "assert f(0) == 2"], timeout=1) == {"status": "fail", "error_type": "timeout", "passed": 1, "failed": 2}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltworks.operators import dedup as D
+from siltworks.operators import rollouts as RO
 from siltworks.operators import sampling as S
 from siltworks.operators import traces as TR
 from siltworks.operators.filters import Rule, rule_counts
@@ -202,3 +203,57 @@ def test_pipelines(spark):
 def test_flagship(spark):
     got = catalogue.flagship(spark, "/root/testdata/sf0.001").collect()
     assert 0 < len(got) <= 100 and len({r.fp for r in got}) == len(got)
+
+
+def test_top_rows_by_steps(spark):
+    df = spark.range(5000).withColumn("x", F.col("id") % 97)
+    want = [r.id for r in df.orderBy(F.desc("x"), "id").limit(777).collect()]
+    got = S.top_rows(df, 777, F.col("x").cast("double"), [F.desc("x"), F.col("id")], few=10, steps=50)
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+    assert S.top_rows(df, 9999, F.col("x").cast("double"), [F.desc("x"), F.col("id")], few=10).count() == 5000
+    assert S.top_rows(df.limit(0), 20, F.col("x").cast("double"), [F.desc("x")], few=10).count() == 0
+
+
+def test_numbered(spark):
+    got = S.numbered(spark.createDataFrame([(i * 7 % 101,) for i in range(100)], "k int"), "k").collect()
+    assert [r.place for r in sorted(got, key=lambda r: r.k)] == list(range(100))
+
+
+def test_missing_keys_fail_the_job(spark):
+    ids, rows = spark.createDataFrame([(1, 0), (3, 1)], "k int, place int"), spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert D.ordered_subset(rows, ids, "k", tolerant=True).count() == 1
+    with pytest.raises(Exception, match="missing k 3"):
+        D.ordered_subset(rows, ids, "k").collect()
+    assert [r.v for r in D.ordered_subset(rows, ids.where("k = 1"), "k").collect()] == ["a"]
+
+
+def test_rollouts_and_rejudged_turns(spark):
+    fence = "```python\ndef f(x):\n    return x + {}\n```"
+    rows = [("t", 0, fence.format(1)), ("t", 1, fence.format(2)), ("t", 2, "no code"), ("t", 3, fence.format(1)), ("u", 0, fence.format(1))]
+    scored = RO.score_rollouts(spark.createDataFrame(rows, "task_id string, rollout int, completion string"), spark.createDataFrame([("t", ["assert f(1) == 2"])], "task_id string, tests array<string>"))
+    got = {(r.task_id, r.rollout): (r.passed, r.status, r.code_chars > 0) for r in scored.collect()}
+    assert got == {("t", 0): (True, "pass", True), ("t", 1): (False, "fail", True), ("t", 2): (False, "no_code", False), ("t", 3): (True, "pass", True), ("u", 0): (False, "fail", True)}
+    t = {r.task_id: r for r in RO.rollout_summary(scored).collect()}["t"]
+    assert (t.pass_count, t.pass_rate, t.passed_indices) == (2, 0.5, [0, 3]) and t.slowest > 0
+    turns = spark.createDataFrame([("a", 0, "t", "def f(x): return x + 1"), ("a", 1, "t", "def f(x): return x"), ("a", 2, "t", None), ("a", 3, "v", "x")], "run_id string, turn_index int, task_id string, parsed_submit string")
+    again = RO.rejudged(turns, spark.createDataFrame([("t", ["assert f(1) == 2"]), ("v", [])], "task_id string, tests array<string>")).collect()
+    assert {r.turn_index: (r.status, r.error_type) for r in again} == {0: ("pass", None), 1: ("fail", "wrong_answer"), 2: ("fail", "format_error"), 3: (None, None)}
+
+
+def test_slices_carry_refreshed_observations(spark):
+    turns = [_turn("r", 0, "fail"), _turn("r", 1, "pass", submit="")]
+    runs = spark.createDataFrame([("r", ("p",), "pass")], "run_id string, task struct<prompt:string>, final_status string")
+    kept = TR.assembled(runs, spark.createDataFrame(turns, TURN)).select(TR.sliced(F.col("turns"), F.lit(2)).alias("t")).select(F.col("t"), TR.final_status(F.col("t")).alias("f")).first()
+    assert json.loads(kept.t[1].obs_full) == {"status": "fail", "error_type": "format_error"} and kept.f == "fail"
+
+
+def test_evaluation_files_and_versions(spark, tmp_path):
+    graded = spark.createDataFrame([("q1", ["x"], [True], "easy"), ("q2", ["y", "z"], [True, False], "hard")], "id string, codes array<string>, passed array<boolean>, level string")
+    summary = io.write_evaluation(graded, str(tmp_path / "run"), "id", "codes", "passed", ["level"])
+    assert summary == {"items": 2, "pass_at_1": 0.75, "by_level": {"easy": 1.0, "hard": 0.5}}
+    assert json.loads((tmp_path / "run_score_summary.json").read_text()) == summary
+    assert spark.read.json(str(tmp_path / "run_eval")).count() == 2 and {p.name for p in tmp_path.iterdir()} == {"run_output", "run_eval", "run_eval_all", "run_score_summary.json"}
+    graded.write.parquet(str(tmp_path / "v5.parquet"))
+    assert io.read_version(spark, str(tmp_path), "named", "v5", limit=1).count() == 1
+    with pytest.raises(FileNotFoundError):
+        io.resolve_version(spark, str(tmp_path), "named", "v6")
