@@ -663,10 +663,28 @@ def txt9(spark, d):
     return table(spark, d, "func_tasks").select("task_id", X.target_function("prompt").alias("target"))
 
 
-@query("txt10_11_solutions", None)
+_NAMES = r"regexp_extract_all({0}, 'def\s+(\w+)\s*\(', 1)"
+
+
+def _defined(code: str) -> str:
+    return f"CASE WHEN target IS NOT NULL THEN list_contains({_NAMES.format(code)}, target) ELSE starts_with({strip(code)}, 'def ') END"
+
+
+@query(
+    "txt10_11_solutions",
+    _CALLS
+    + f""", w AS (SELECT t.task_id, any_value(t.prompt) AS prompt, first(k.name ORDER BY k.kind, k.i) AS target FROM func_tasks t LEFT JOIN k ON t.task_id = k.task_id AND k.kind IS NOT NULL GROUP BY 1),
+x AS (SELECT sample_id, prompt, target, txt, string_split(txt, '```') AS parts FROM (SELECT DISTINCT sample_id, task_id, {_BARE} AS txt FROM eval_samples WHERE raw_output IS NOT NULL) JOIN w USING (task_id)),
+y AS (SELECT *, parts[2:greatest(len(parts) - 1, 1)] AS closed FROM x),
+z AS (SELECT *, list_filter(closed, lambda b: starts_with(b, 'python' || chr(10))) AS python, list_filter(closed, lambda b, i: i % 2 = 1) AS alternate FROM y),
+b AS (SELECT sample_id, prompt, target, txt, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS i FROM (SELECT *, CASE WHEN len(python) > 0 THEN list_transform(python, lambda b: {strip('substring(b, 8)')}) ELSE list_transform(alternate, lambda b: {strip('b')}) END AS blocks FROM z)),
+best AS (SELECT sample_id, prompt, arg_max(block, (coalesce(({_defined('block')})::INT, 0) * 2 + least(len({_NAMES.format('block')}), 1)) * 1000000 + i) AS block FROM b GROUP BY ALL),
+made AS (SELECT x.sample_id, x.prompt, x.target, coalesce(nullif(best.block, ''), x.txt) AS code FROM x LEFT JOIN best ON x.sample_id = best.sample_id AND x.prompt = best.prompt)
+SELECT DISTINCT sample_id, CASE WHEN {_defined('code')} THEN code ELSE coalesce(prompt, '') || code END AS solution FROM made""",
+)
 def txt10(spark, d):
     s = table(spark, d, "eval_samples").where("raw_output is not null").select("sample_id", "task_id", "raw_output").distinct()
-    return s.join(table(spark, d, "func_tasks").select("task_id", "prompt"), "task_id").select("sample_id", X.assembled_solution("raw_output", "prompt").alias("solution"))
+    return s.join(table(spark, d, "func_tasks").select("task_id", "prompt"), "task_id").select("sample_id", X.assembled_solution("raw_output", "prompt").alias("solution")).distinct()
 
 
 @query(
@@ -687,7 +705,18 @@ def txt13(spark, d):
     return t.select("run_id", "turn_index", "p.think", "p.submit", "p.status", "p.error_type", F.array_join("p.warnings", ",").alias("warnings"))
 
 
-@query("txt14_recovered_submission", None)
+_RECOVERED = r"'(?is)^\s*```(?:python|py)?\s*\n(.*?)\n```\s*$'"
+_PYTHON = r"(contains({0}, 'sys.stdin') OR regexp_matches({0}, '\bprint\s*\(') OR list_contains(list_transform(string_split({0}, chr(10)), lambda l: {1} OR regexp_matches(ltrim(l), '^if\s+__name__\s*==')), TRUE))"
+_RECOVERY = (
+    SQL["txt13_parsed_submission"].split("SELECT run_id, turn_index, CASE WHEN has")[0].replace("raw_output AS x FROM turns WHERE raw_output IS NOT NULL", "coalesce(recovery_raw_output, raw_output) AS x FROM turns WHERE coalesce(recovery_raw_output, raw_output) IS NOT NULL")
+    + f""", g AS (SELECT *, {strip('x')} AS p FROM f),
+h AS (SELECT *, CASE WHEN regexp_matches(x, {_RECOVERED}) THEN {strip(f'regexp_extract(x, {_RECOVERED}, 1)')} WHEN NOT regexp_matches(p, '(?i)</?(?:think|obs|submit)>') AND {_PYTHON.format('p', _opens('ltrim(l)'))} THEN p ELSE '' END AS code FROM g),
+j AS (SELECT *, coalesce(error_type IN ('missing_submit', 'incomplete_output') AND code <> '', FALSE) AS again FROM h)
+SELECT run_id, turn_index, CASE WHEN again THEN code ELSE coalesce(submit, '') END AS submit, CASE WHEN again OR error_type IS NULL THEN 'ok' ELSE 'format_error' END AS status, CASE WHEN NOT again THEN error_type END AS error_type FROM j"""
+)
+
+
+@query("txt14_recovered_submission", _RECOVERY)
 def txt14(spark, d):
     said = F.coalesce("recovery_raw_output", "raw_output")
     t = table(spark, d, "turns").where(said.isNotNull()).select("run_id", "turn_index", X.recovered_submission(said).alias("p")).distinct()
