@@ -17,16 +17,18 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
-def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
-    return NearDuplicates(_conversations(spark, sf_dir), threshold=0.6, shingle=3, weighted=False)
+def _near(spark: SparkSession, sf_dir: str, weighted: bool) -> NearDuplicates:
+    return NearDuplicates(_conversations(spark, sf_dir), threshold=0.6, shingle=3, weighted=weighted)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir).pairs().select(F.col("src").alias("src_table"), "id_a", "id_b")
+    # sets of word sequences, as TESTDATA.md defines the similarity of p5_found
+    return _near(spark, sf_dir, False).pairs().select(F.col("src").alias("src_table"), "id_a", "id_b")
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir).groups().select(F.col("src").alias("src_table"), F.col("id").alias("row_id"), "group_id", "links")
+    # multisets: a sequence counts as often as it stands in a conversation
+    return _near(spark, sf_dir, True).groups().select(F.col("src").alias("src_table"), F.col("id").alias("row_id"), "group_id", "links")
 
 
 def plain_source(column: str = "source") -> Column:
