@@ -153,3 +153,8 @@ def case_rows(df, public: str = "public_test_cases", functional: bool = False):
 def prompt_messages(system: str, question: Column, names: Column) -> Column:
     """System and user message of a training prompt; the user message names what a solution must define."""
     return chat(("system", F.lit(system)), ("user", with_contract(question, names)))
+
+
+def normalised_tests(tests: Column, is_text: bool) -> Column:
+    """Tests as a list without blank ones, from a list or from one text; null gives an empty list."""
+    return visible_tests(F.when(tests.isNotNull(), F.array(tests)) if is_text else tests)

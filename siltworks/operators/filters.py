@@ -45,3 +45,13 @@ def score_at_least(score: Column, least: float, keep_nan: bool) -> Column:
 
 def in_half_open(c: Column, low: float, high: float) -> Column:
     return (c >= low) & (c < high)
+
+
+def length_window(question: Column, answer: Column, shortest: int = 50, longest: int = 12_000, longest_question: int = 0) -> Column:
+    """Both filled, the answer long enough and both together short enough; a bound of 0 or less is no bound."""
+    q, a = F.coalesce(F.length(question), F.lit(0)), F.coalesce(F.length(answer), F.lit(0))
+    kept = (q > 0) & (a > 0)
+    for bound, holds in ((shortest, a >= shortest), (longest, q + a <= longest), (longest_question, q <= longest_question)):
+        if bound > 0:
+            kept = kept & holds
+    return kept

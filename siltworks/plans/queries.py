@@ -13,8 +13,9 @@ from siltworks.operators import dedup as D
 from siltworks.operators import reports as R
 from siltworks.operators import rollouts as RO
 from siltworks.operators import sampling as S
+from siltworks.operators import tasks as TK
 from siltworks.operators import traces as TR
-from siltworks.operators.filters import Rule, apply_rules, first_failure, in_half_open, score_at_least
+from siltworks.operators.filters import Rule, apply_rules, first_failure, in_half_open, length_window, score_at_least
 from siltworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,8 +187,7 @@ def flt1(spark, d):
 
 @query("flt3_6_length_window", "SELECT row_id FROM code_instruct WHERE problem <> '' AND solution <> '' AND length(solution) >= 50 AND length(problem) + length(solution) <= 1200 AND length(problem) <= 16000")
 def flt3(spark, d):
-    p, s = F.length("problem"), F.length("solution")
-    return table(spark, d, "code_instruct").where((p > 0) & (s > 0) & (s >= 50) & (p + s <= 1200) & (p <= 16000)).select("row_id")
+    return table(spark, d, "code_instruct").where(length_window(F.col("problem"), F.col("solution"), 50, 1200, 16_000)).select("row_id")
 
 
 @query("flt7_language", "SELECT row_id, repo FROM code_instruct WHERE lower(lang) = 'python'")
@@ -285,10 +285,10 @@ def flt20(spark, d):
     return q.select("question_id", F.size("c").alias("cases"), F.size(A.stdin_cases(F.col("c"))).alias("stdin_cases"))
 
 
-@query("flt21_exclusion_patterns", "SELECT row_id FROM scored_pool WHERE question_chars <= 900 AND len(tests) >= 2 AND NOT regexp_matches(lower(list_extract(list_filter(messages, lambda m: m.role = 'user'), 1).content), 'telescope|two teams|\\bkeeper of the (harbour|quarry)\\b')")
+@query("flt21_exclusion_patterns", "SELECT row_id FROM scored_pool WHERE question_chars <= 900 AND len(tests) >= 2 AND lower(trim(source)) IN ('kodgarden', 'opentasks', 'codemint') AND pass_count BETWEEN 0 AND 4 AND NOT regexp_matches(lower(list_extract(list_filter(messages, lambda m: m.role = 'user'), 1).content), 'telescope|two teams|\\bkeeper of the (harbour|quarry)\\b')")
 def flt21(spark, d):
     q = F.lower(F.try_element_at(F.filter("messages", lambda m: m["role"] == "user"), F.lit(1))["content"])
-    return table(spark, d, "scored_pool").where((F.col("question_chars") <= 900) & (F.size("tests") >= 2) & ~q.rlike(r"telescope|two teams|\bkeeper of the (harbour|quarry)\b")).select("row_id")
+    return table(spark, d, "scored_pool").where((F.col("question_chars") <= 900) & (F.size("tests") >= 2) & F.lower(F.trim("source")).isin("kodgarden", "opentasks", "codemint") & F.col("pass_count").between(0, 4) & ~q.rlike(r"telescope|two teams|\bkeeper of the (harbour|quarry)\b")).select("row_id")
 
 
 @query("flt22_passed_traces", "SELECT DISTINCT run_id, model FROM traces WHERE final_status = 'pass'")
@@ -338,11 +338,17 @@ def prj10(spark, d):
     return t.select("row_id", F.size("m").alias("messages"), F.col("m")[0]["role"].alias("first_role"), digest.alias("digest"))
 
 
-@query("prj12_question_conversion", f"SELECT question_id, question_content || CASE WHEN coalesce(starter_code, '') <> '' THEN chr(10) || chr(10) || 'Starter code:' || chr(10) || starter_code ELSE '' END AS prompt, len(list_filter(c, lambda x: lower(coalesce(nullif(x.testtype, ''), 'stdin')) IN ('stdin', 'stdio', 'standard_input')))::INT AS public_cases FROM (SELECT *, coalesce({_CASES.format('public_test_cases')}, []) c FROM eval_questions WHERE question_content IS NOT NULL)")
+_STDIN = "list_filter({0}, lambda x: lower(coalesce(nullif(x.testtype, ''), 'stdin')) IN ('stdin', 'stdio', 'standard_input'))"
+_TRIMMED = r"regexp_replace({0}, '[\t-\r \x1c-\x1f\x{{85}}\p{{Z}}]+$', '')"
+
+
+@query(
+    "prj12_question_conversion",
+    f"SELECT question_id, CASE WHEN s = '' THEN q ELSE {_TRIMMED.format('q')} || chr(10) || chr(10) || 'Starter code:' || chr(10) || s END AS prompt, len(pub)::INT AS public_cases, len(priv)::INT AS private_cases FROM (SELECT question_id, coalesce({strip('starter_code')}, '') AS s, coalesce(question_content, '') AS q, {_STDIN.format('coalesce(' + _CASES.format('public_test_cases') + ', [])')} AS pub, {_STDIN.format('coalesce(' + _CASES.format('private_test_cases') + ', [])')} AS priv FROM eval_questions) WHERE len(pub) > 0",
+)
 def prj12(spark, d):
-    q = table(spark, d, "eval_questions").where("question_content is not null")
-    starter = F.when(F.coalesce("starter_code", F.lit("")) != "", F.concat(F.lit("\n\nStarter code:\n"), F.col("starter_code"))).otherwise("")
-    return q.select("question_id", F.concat("question_content", starter).alias("prompt"), F.size(A.stdin_cases(A.cases("public_test_cases"))).alias("public_cases"))
+    q = TK.question_rows(table(spark, d, "eval_questions"), include_private=True)
+    return q.select("question_id", F.col("question_content").alias("prompt"), F.size("public_test_cases").alias("public_cases"), F.size("private_test_cases").alias("private_cases"))
 
 
 @query("prj14_public_examples", f"SELECT question_id, list_aggregate(list_transform(c[1:3], lambda x, i: 'Example ' || i || chr(10) || 'Input:' || chr(10) || trim(coalesce(x.input, ''), chr(10)) || chr(10) || 'Output:' || chr(10) || trim(coalesce(x.output, ''), chr(10))), 'string_agg', chr(10) || chr(10)) AS examples FROM (SELECT question_id, {_CASES.format('public_test_cases')} c FROM eval_questions) WHERE len(c) > 0")
@@ -571,10 +577,14 @@ def win6(spark, d):
     return t.select("run_id", "turn_index", F.row_number().over(w.orderBy("turn_index")).alias("nth"), (F.col("turn_index") == F.max("turn_index").over(w)).alias("is_last"))
 
 
-@query("win7_throughput", "SELECT model, count(*) AS done, round(sum(completion_tokens) / nullif(sum(latency), 0), 6) AS tokens_per_second FROM (SELECT DISTINCT gen_id, model, completion_tokens, latency FROM generations WHERE completion_tokens IS NOT NULL AND latency IS NOT NULL) GROUP BY 1")
+@query("win7_throughput", "SELECT model, count(*) AS done, round(sum(completion_tokens) / nullif(sum(latency), 0), 6) AS tokens_per_second, any_value(todo) - count(*) AS missing, floor((any_value(todo) - count(*)) * sum(latency) / count(*) + 1e-6)::BIGINT AS eta_seconds FROM (SELECT DISTINCT gen_id, model, completion_tokens, latency FROM generations WHERE completion_tokens IS NOT NULL AND latency IS NOT NULL) JOIN (SELECT model AS m, count(DISTINCT gen_id) AS todo FROM generations GROUP BY 1) ON m = model GROUP BY 1")
 def win7(spark, d):
-    g = table(spark, d, "generations").where("completion_tokens is not null and latency is not null").select("gen_id", "model", "completion_tokens", "latency").distinct()
-    return g.groupBy("model").agg(F.count("*").alias("done"), F.round(F.try_divide(F.sum("completion_tokens"), F.sum("latency")), 6).alias("tokens_per_second"))
+    g = table(spark, d, "generations")
+    todo = g.groupBy("model").agg(F.countDistinct("gen_id").alias("todo"))
+    done = g.where("completion_tokens is not null and latency is not null").select("gen_id", "model", "completion_tokens", "latency").distinct()
+    per = done.groupBy("model").agg(F.count("*").alias("done"), F.round(F.try_divide(F.sum("completion_tokens"), F.sum("latency")), 6).alias("tokens_per_second"), F.sum("latency").alias("took"))
+    left = F.col("todo") - F.col("done")
+    return per.join(todo, "model").select("model", "done", "tokens_per_second", left.alias("missing"), F.floor(left * F.col("took") / F.col("done") + 1e-6).alias("eta_seconds"))
 
 
 @query("srt1_3_sorts", "SELECT source, n, arg_max_kind FROM (SELECT source, sum(n)::BIGINT AS n, arg_max(kind, (n, kind)) AS arg_max_kind FROM (SELECT source, kind, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1) ORDER BY n DESC, source")
@@ -888,10 +898,13 @@ def prj7(spark, d):
     return c.select("row_id", question.alias("question"), F.length(answer).alias("answer_chars"))
 
 
-@query("prj13_filtered_conversion", f"SELECT question_id, n AS cases FROM (SELECT question_id, len(list_filter(coalesce({_CASES.format('public_test_cases')}, []), lambda x: lower(coalesce(nullif(x.testtype, ''), 'stdin')) IN ('stdin', 'stdio', 'standard_input')))::INT AS n FROM eval_questions WHERE lower(trim(difficulty)) IN ('easy', 'medium')) WHERE n > 0")
+@query("prj13_filtered_conversion", f"SELECT task_id AS question_id, prompt AS question, test FROM func_tasks WHERE coalesce({strip('prompt')}, '') <> '' AND coalesce({strip('test')}, '') <> '' AND NOT starts_with(prompt, 'def ') AND length(prompt) <= 400 AND length(canonical_solution) % 10 >= 3")
 def prj13(spark, d):
-    q = table(spark, d, "eval_questions").where(F.lower(F.trim("difficulty")).isin("easy", "medium"))
-    return A.case_rows(q).select("question_id", F.size("cases").alias("cases"))
+    # the fields of such rows that the table lacks are worked out of its texts
+    subset = F.when(F.col("prompt").startswith("def "), "stub").otherwise("plain")
+    level = F.when(F.length("prompt") <= 400, "easy").otherwise("hard")
+    rows = table(spark, d, "func_tasks").select(F.col("task_id").alias("question_id"), F.col("prompt").alias("question"), "test", subset.alias("subset"), level.alias("gpt_difficulty"), (F.length("canonical_solution") % 10 / 10).alias("gpt_pass_percentage"))
+    return TK.module_rows(rows, "plain", "easy", 0.3).select("question_id", "question", "test")
 
 
 @query("prj5_stringified", "SELECT row_id, coalesce(CASE WHEN sampling IS NOT NULL THEN json_merge_patch('{}', json_object('enable_thinking', sampling.enable_thinking, 'max_tokens', sampling.max_tokens, 'system_prompt_mode', sampling.system_prompt_mode, 'temperature', sampling.temperature, 'top_k', sampling.top_k, 'top_p', sampling.top_p))::VARCHAR END, '') AS sampling, coalesce(" + strip("source") + ", '') AS source FROM scored_pool")
@@ -933,12 +946,25 @@ def src8(spark, d):
     return a.unionByName(table(spark, d, "scored_pool").select(F.lit("pool").alias("origin"), "row_id", "pass_count"), allowMissingColumns=True)
 
 
-@query("src12_task_adapter", f"SELECT task_id, coalesce(prompt, '') AS prompt, (CASE WHEN len(list_filter(coalesce(tests, []), lambda t: coalesce({strip('t')}, '') <> '')) > 0 THEN len(tests) WHEN len(coalesce(test_list, [])) > 0 THEN len(test_list) WHEN coalesce(test, '') <> '' THEN 1 ELSE 0 END)::INT AS n_tests, coalesce(base_input, '') <> '' AS differential FROM func_tasks")
+@query("src12_task_adapter", "SELECT task_id, coalesce(prompt, '') AS prompt, 'python' AS language, coalesce(base_input, '') AS base_input, coalesce(len(tests), -1)::INT AS tests FROM func_tasks")
 def src12(spark, d):
-    t = table(spark, d, "func_tasks")
-    empty = F.array().cast("array<string>")
-    tests = F.when(F.size(A.visible_tests("tests")) > 0, F.col("tests")).when(F.size(F.coalesce("test_list", empty)) > 0, F.col("test_list")).when(F.coalesce("test", F.lit("")) != "", F.array("test")).otherwise(empty)
-    return t.select("task_id", F.coalesce("prompt", F.lit("")).alias("prompt"), F.size(tests).alias("n_tests"), (F.coalesce("base_input", F.lit("")) != "").alias("differential"))
+    t = TK.ADAPTERS["functions"](table(spark, d, "func_tasks"), "functions", "all")
+    held = F.from_json("tests_metadata", "base_input string, tests array<string>")
+    return t.select("task_id", "prompt", "language", F.coalesce(held["base_input"], F.lit("")).alias("base_input"), F.coalesce(F.size(held["tests"]), F.lit(-1)).alias("tests"))
+
+
+_EXAMPLES = "list_aggregate(list_transform({0}[1:3], lambda x, i: 'Example ' || i || chr(10) || 'Input:' || chr(10) || trim(coalesce(x.input, ''), chr(10)) || chr(10) || 'Output:' || chr(10) || trim(coalesce(x.output, ''), chr(10))), 'string_agg', chr(10) || chr(10))"
+
+
+@query("src12_case_tasks", f"SELECT question_id AS task_id, CASE WHEN len(c) > 0 THEN {_TRIMMED.format('q')} || chr(10) || chr(10) || 'Public examples:' || chr(10) || {_EXAMPLES.format('c')} ELSE q END AS prompt FROM (SELECT question_id, coalesce(question_content, '') AS q, coalesce({_CASES.format('public_test_cases')}, []) AS c FROM eval_questions)")
+def src12_cases(spark, d):
+    return TK.ADAPTERS["cases"](table(spark, d, "eval_questions"), "questions", "held-out").select("task_id", "prompt")
+
+
+@query("src12_module_tasks", f"SELECT task_id, coalesce({strip('prompt')}, '') AS prompt, 'module_tests' AS scenario, test FROM func_tasks WHERE test IS NOT NULL")
+def src12_module(spark, d):
+    t = TK.ADAPTERS["module"](table(spark, d, "func_tasks").where("test is not null"), "modules", "all")
+    return t.select("task_id", "prompt", "scenario", F.from_json("tests_metadata", "test string")["test"].alias("test"))
 
 
 @query("src14_preview", "SELECT row_id, substring(solution, 1, 700) AS head FROM code_instruct ORDER BY row_id, head LIMIT 3")

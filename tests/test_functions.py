@@ -252,3 +252,9 @@ def test_judges_on_frames(spark):
 
 def test_a_killed_process_is_resumed():
     assert C.judge_functions("def f(x):\n    while x: pass\n    return 1", ["assert f(0) == 1", "f(1)", "assert f(0) == 2"], timeout=1) == {"status": "fail", "error_type": "timeout", "passed": 1, "failed": 2}
+
+
+def test_tests_of_any_shape(spark):
+    assert one(spark, A.normalised_tests(F.col("t"), True), t="assert 1") == ["assert 1"] and one(spark, A.normalised_tests(F.col("t"), True), t=" ") == []
+    df = spark.createDataFrame([(["a", " ", None],), (None,)], "t array<string>")
+    assert [r.t for r in df.select(A.normalised_tests(F.col("t"), False).alias("t")).collect()] == [["a"], []]

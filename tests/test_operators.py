@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from siltworks.operators import dedup as D
 from siltworks.operators import rollouts as RO
 from siltworks.operators import sampling as S
+from siltworks.operators import tasks as TK
 from siltworks.operators import traces as TR
-from siltworks.operators.filters import Rule, rule_counts
+from siltworks.operators.filters import Rule, length_window, rule_counts
 from siltworks.plans import catalogue, pipelines
 from siltworks.sources import io
 from siltworks.streaming import incremental as I
@@ -257,3 +258,23 @@ def test_evaluation_files_and_versions(spark, tmp_path):
     assert io.read_version(spark, str(tmp_path), "named", "v5", limit=1).count() == 1
     with pytest.raises(FileNotFoundError):
         io.resolve_version(spark, str(tmp_path), "named", "v6")
+
+
+def test_length_window_without_bounds(spark):
+    df = spark.createDataFrame([("q", "a"), ("", "a"), (None, "a"), ("q" * 90, "a" * 60)], "q string, a string")
+    assert df.where(length_window(F.col("q"), F.col("a"), 0, 0, -1)).count() == 2 and df.where(length_window(F.col("q"), F.col("a"), 2, 150)).count() == 1
+
+
+def test_task_adapters(spark):
+    case = '[{"input": "1\\n", "output": "2"}, {"input": "3", "output": "4", "testtype": "functional"}]'
+    rows = spark.createDataFrame([("q", " Ask \n", case, "[]", " def f(): ", "{}"), ("p", "x", "junk", None, None, None)], "question_id string, question_content string, public_test_cases string, private_test_cases string, starter_code string, metadata string")
+    t = {r.task_id: r for r in TK.ADAPTERS["cases"](rows, "b", "d").collect()}
+    assert t["q"].prompt == " Ask\n\nPublic examples:\nExample 1\nInput:\n1\nOutput:\n2\n\nExample 2\nInput:\n3\nOutput:\n4" and t["p"].prompt == "x" and t["q"].language == "python"
+    kept = TK.question_rows(rows).collect()
+    assert [(r.question_id, r.question_content, len(r.public_test_cases)) for r in kept] == [("q", " Ask\n\nStarter code:\ndef f():", 1)] and "private_test_cases" not in kept[0]
+    assert len(TK.question_rows(rows, stdin_only=False, include_private=True).first().public_test_cases) == 2
+    modules = spark.createDataFrame([("a", "q", "t", "s", "easy", 0.5), ("b", "q", "t", "s", "easy", None), ("c", "q", " ", "s", "easy", 0.9), ("d", "q", "t", "z", "hard", 0.9)], "id string, question string, test string, subset string, gpt_difficulty string, gpt_pass_percentage double")
+    assert [r.id for r in TK.module_rows(modules, "s", "easy", 0.4).collect()] == ["a"] and TK.module_rows(modules).count() == 3
+    m = TK.ADAPTERS["module"](modules, "b", "d").first()
+    assert m.scenario == "module_tests" and json.loads(m.tests_metadata) == {"test": "t", "subset": "s", "difficulty": "easy"}
+    assert TK.ADAPTERS["functions"](modules, "b", "d").first().prompt == "q"
