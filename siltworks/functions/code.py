@@ -213,13 +213,13 @@ for _i, _t in enumerate(_TESTS):
 """
 
 
-def judge_functions(code: str, tests: list[str], timeout: float = 5.0) -> dict:
-    """All tests in one process, each with the code run afresh; the first failure names the error.
+def errors_of(code: str, tests: list[str], timeout: float = 5.0) -> list[str | None]:
+    """The error of each test, null where it passed: all tests in one process, each with the code run afresh.
 
     If the process is killed, the tests it did not reach are run in processes of their own.
     """
     errors: list[str | None] = []
-    ended, out, _ = run_python(f"_CODE = {code!r}\n_TESTS = {tests!r}\n{_EACH}", timeout=timeout)
+    _, out, _ = run_python(f"_CODE = {code!r}\n_TESTS = {tests!r}\n{_EACH}", timeout=timeout)
     for line in re.findall(r"^VERDICT (.*)$", out, re.M):
         try:
             i, error = json.loads(line)
@@ -230,10 +230,19 @@ def judge_functions(code: str, tests: list[str], timeout: float = 5.0) -> dict:
     for t in tests[len(errors) :]:
         ended, _, err = run_python(code + "\n\n" + t, timeout=timeout)
         errors.append(_outcome(ended, err)[1])
+    return errors
+
+
+def _verdict(errors: list[str | None]) -> dict:
     failures = [e for e in errors if e is not None]
     return {"status": "fail" if failures else "pass", "error_type": failures[0] if failures else None, "passed": len(errors) - len(failures), "failed": len(failures)}
 
 
+def judge_functions(code: str, tests: list[str], timeout: float = 5.0) -> dict:
+    """The first failure names the error."""
+    return _verdict(errors_of(code, tests, timeout))
+
+
 def judge_stdio(code: str, cases: list[dict], timeout: float = 5.0) -> dict:
     """Outputs compared line by line without blanks at line ends; stops at the first failure."""
     clean = lambda s: "\n".join(x.rstrip() for x in (s or "").strip().splitlines())
@@ -278,13 +287,23 @@ def judge_calls(code: str, name: str, cases: list[dict], timeout: float = 5.0) -
     return judge_functions(code, units, timeout)
 
 
-def judge_differential(code: str, reference: str, name: str, inputs: list, timeout: float = 5.0) -> dict:
-    """The code against a reference solution on the same inputs, a list of argument lists or of single arguments."""
+def _against(reference: str, name: str, inputs: list) -> list[str]:
     units = []
     for i in inputs:
         args = i if isinstance(i, list) else [i]
         units.append(f"_own = {name}\n_space = {{}}\nexec({reference!r}, _space)\n_args = {args!r}\nassert _own(*_args) == _space[{name!r}](*_args)")
-    return judge_functions(code, units, timeout)
+    return units
+
+
+def judge_differential(code: str, reference: str, name: str, inputs: list, timeout: float = 5.0) -> dict:
+    """The code against a reference solution on the same inputs, a list of argument lists or of single arguments."""
+    return judge_functions(code, _against(reference, name, inputs), timeout)
+
+
+def audit(code: str, reference: str, name: str, base: list, plus: list, timeout: float = 5.0) -> tuple[dict, dict]:
+    """Verdicts on the base inputs (the further ones if there are none) and on all inputs, from one run over them."""
+    errors = errors_of(code, _against(reference, name, base + plus), timeout)
+    return _verdict(errors[: len(base)] if base else errors), _verdict(errors)
 
 
 _SHIM = """
@@ -379,6 +398,22 @@ def _timed(code: pd.Series, tests: pd.Series) -> pd.DataFrame:
 
 
 timed_run = _timed.asNondeterministic()
+
+
+def _inputs(text: str | None) -> list:
+    try:
+        found = json.loads(text) if isinstance(text, str) else []
+    except ValueError:
+        return []
+    return found if isinstance(found, list) else []
+
+
+@F.pandas_udf(T.StructType([T.StructField("base", VERDICT), T.StructField("plus", VERDICT)]))
+def _audited(code: pd.Series, reference: pd.Series, name: pd.Series, base: pd.Series, plus: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([audit(c, r, n, _inputs(b), _inputs(p)) for c, r, n, b, p in zip(code, reference, name, base, plus)], columns=["base", "plus"])
+
+
+audited = _audited.asNondeterministic()
 #: Judging functions by name, for SQL.
 REGISTRY = {"timed_run": timed_run, "stdio_verdict": stdio_verdict, "call_verdict": call_verdict, "differential_verdict": differential_verdict, "runs_all": runs_all, "function_verdict": function_verdict, "module_verdict": module_verdict, "required_symbols": required_symbols, "self_contained": self_contained}
 

@@ -162,13 +162,12 @@ def block_interleave(df: DataFrame, label: str, per_block: dict, key: str, seed:
     return (out if blocks is None else out.where(F.col("block") < blocks)).withColumnRenamed("rank__", "place_in_label")
 
 
-def numbered(df: DataFrame, by: str, place: str = "place", ranges: int = 1024) -> DataFrame:
-    """The place of each row in the order of a column, from 0, by a range partitioning: no task sorts more than about its share of the rows."""
-    parted = df.repartitionByRange(ranges if df.sparkSession.sparkContext.defaultParallelism > 64 else 16, by).withColumn("part__", F.spark_partition_id())
-    parted = materialise(parted, "ranges")
+def numbered(df: DataFrame, *order: Column | str, place: str = "place", ranges: int = 64) -> DataFrame:
+    """The place of each row in an order, from 0, by a range partitioning: no task sorts more than about its share of the rows."""
+    parted = materialise(df.repartitionByRange(ranges, *order).withColumn("part__", F.spark_partition_id()), "ranges")
     sizes = parted.groupBy("part__").agg(F.count("*").alias("n__"))
     offsets = sizes.withColumn("offset__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n__")  # one row a range
-    rank = F.row_number().over(Window.partitionBy("part__").orderBy(by))
+    rank = F.row_number().over(Window.partitionBy("part__").orderBy(*order))
     return parted.withColumn("rank__", rank).join(offsets, "part__").withColumn(place, F.col("offset__") + F.col("rank__") - 1).drop("part__", "rank__", "offset__")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import estimated_tokens, middle_cut, parsed_submission, recovered_submission, submit_summary
@@ -123,9 +123,15 @@ def needs_recovery(turn: Column) -> Column:
 
 
 def replayed(turns: DataFrame) -> DataFrame:
-    """Recorded turns parsed again: (run_id, turn_index, recovered, submit, status, error_type), recoveries included."""
+    """Recorded turns parsed again: (run_id, turn_index, recovered, submit, status, error_type), recoveries included.
+
+    A run ends with the first turn whose recovery holds no submission either: recorded turns after it are left out.
+    """
     turn = F.struct("raw_output", "finish_reason")
     again = needs_recovery(turn) & (F.coalesce("recovery_raw_output", F.lit("")) != "")
     parsed = F.when(again, recovered_submission("recovery_raw_output")).otherwise(parsed_submission(F.coalesce("raw_output", F.lit(""))))
     p = turns.select("run_id", "turn_index", again.alias("recovered"), parsed.alias("p")).distinct()
-    return p.select("run_id", "turn_index", "recovered", "p.submit", "p.status", "p.error_type")
+    ended = F.col("recovered") & F.col("p.error_type").isin("missing_submit", "incomplete_output")
+    stop = F.min(F.when(ended, F.col("turn_index"))).over(Window.partitionBy("run_id"))  # a run has a handful of turns
+    kept = p.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("turn_index") <= F.col("stop")))
+    return kept.select("run_id", "turn_index", "recovered", "p.submit", "p.status", "p.error_type")

@@ -487,7 +487,7 @@ def agg17(spark, d):
 @query("agg18_symbol_ranks", "SELECT symbol, n, row_number() OVER (ORDER BY n DESC, symbol) AS place FROM (SELECT symbol, count(*) AS n FROM (SELECT unnest(required_symbols) AS symbol FROM scored_pool) GROUP BY 1)")
 def agg18(spark, d):
     counts = table(spark, d, "scored_pool").select(F.explode("required_symbols").alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "symbol")))
+    return S.numbered(counts, F.desc("n"), F.col("symbol")).withColumn("place", F.col("place") + 1)
 
 
 # --- windows and samples ------------------------------------------------------------------------------------------
@@ -1021,3 +1021,9 @@ def udf1(spark, d):
 def udf14(spark, d):
     t = D.keep_last(table(spark, d, "turns").select("run_id", "turn_index", "task_id", "parsed_submit", "logged_at"), ["run_id", "turn_index"], "logged_at")
     return RO.rejudged(t, table(spark, d, "func_tasks")).select("run_id", "turn_index", "status", "error_type")
+
+
+@query("udf11_differential_audit", None)
+def udf11(spark, d):
+    solutions = table(spark, d, "eval_samples").select(F.col("sample_id").alias("key"), "task_id", F.col("solution").alias("code")).distinct()
+    return RO.audited(solutions, table(spark, d, "func_tasks")).withColumnRenamed("key", "sample_id")

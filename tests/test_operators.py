@@ -278,3 +278,18 @@ def test_task_adapters(spark):
     m = TK.ADAPTERS["module"](modules, "b", "d").first()
     assert m.scenario == "module_tests" and json.loads(m.tests_metadata) == {"test": "t", "subset": "s", "difficulty": "easy"}
     assert TK.ADAPTERS["functions"](modules, "b", "d").first().prompt == "q"
+
+
+def test_differential_audit(spark):
+    tasks = spark.createDataFrame([("t", "def f(x): return abs(x)", "f", "[[1], [2]]", "[[-3]]"), ("n", None, "f", "[[1]]", None)], "task_id string, canonical_solution string, entry_point string, base_input string, plus_input string")
+    solutions = spark.createDataFrame([(1, "t", "def f(x): return x"), (2, "t", "def f(x): return abs(x)"), (3, "t", None), (4, "n", "def f(x): return x"), (5, "t", "def f(x): return x")], "key int, task_id string, code string")
+    got = {r.key: (r.status, r.base_status, r.plus_status, r.base_passed, r.plus_passed) for r in RO.audited(solutions, tasks).collect()}
+    assert got == {1: ("pass", "pass", "fail", 2, 2), 2: ("pass", "pass", "pass", 2, 3), 5: ("pass", "pass", "fail", 2, 2)}
+    assert {r.key: (r.status, r.error_type) for r in RO.audited(solutions, tasks, "hidden").collect()}[1] == ("fail", "wrong_answer")
+
+
+def test_replay_stops_after_a_failed_recovery(spark):
+    ok = "<submit>x = 1</submit>"
+    rows = [("a", 0, ok, "stop", None), ("a", 1, "<submit>cut", "length", "still nothing"), ("a", 2, ok, "stop", None), ("b", 0, "<submit>cut", "length", "x = 1\nprint(x)"), ("b", 1, ok, "stop", None)]
+    got = {(r.run_id, r.turn_index): (r.recovered, r.status) for r in TR.replayed(spark.createDataFrame(rows, "run_id string, turn_index int, raw_output string, finish_reason string, recovery_raw_output string")).collect()}
+    assert got == {("a", 0): (False, "ok"), ("a", 1): (True, "format_error"), ("b", 0): (True, "ok"), ("b", 1): (False, "ok")}
