@@ -515,7 +515,7 @@ def smp3(spark, d):
 
 @query(
     "smp5_largest_remainder",
-    "WITH g AS (SELECT c_mktsegment, c_nationkey, count(*) AS size FROM customer GROUP BY ALL), i AS (SELECT *, size / sum(size) OVER () * 600 AS ideal FROM g), f AS (SELECT *, greatest(1, least(size, floor(ideal)))::INT AS base FROM i), r AS (SELECT *, row_number() OVER (ORDER BY ideal - floor(ideal) DESC, size DESC, c_mktsegment DESC, c_nationkey DESC) AS place, 600 - sum(base) OVER () AS gap FROM f) SELECT c_mktsegment, c_nationkey, size, (base + CASE WHEN place <= gap THEN 1 ELSE 0 END)::INT AS quota FROM r",
+    "WITH g AS (SELECT c_mktsegment, c_nationkey, count(*) AS size FROM customer GROUP BY ALL), i AS (SELECT *, size / sum(size) OVER () * least(600, sum(size) OVER ()) AS ideal FROM g), f AS (SELECT *, greatest(1, least(size, floor(ideal)))::INT AS base FROM i), r AS (SELECT *, row_number() OVER (ORDER BY ideal - floor(ideal) DESC, size DESC, c_mktsegment DESC, c_nationkey DESC) AS place, least(600, sum(size) OVER ()) - sum(base) OVER () AS gap FROM f) SELECT c_mktsegment, c_nationkey, size, (base + CASE WHEN place <= gap THEN 1 ELSE 0 END)::INT AS quota FROM r",
 )
 def smp5(spark, d):
     return S.group_quotas(table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], 600)
