@@ -158,3 +158,28 @@ def test_crowded_bands_are_counted(spark):
     assert got == {"cut": 6, "end": 0}
     found = [{r.id for r in judged(df.selectExpr("src", "id", "text", "null as parsed", "status"), hot=h).where(f"state = {CUT} and evidence = 'aligned'").collect()} for h in (1, 100)]
     assert found[0] == found[1] == {"cut"} and RUN == 8
+
+
+def _aligned(spark, rows, **options):
+    df = spark.createDataFrame([("t", i, t, None, None) for i, t in rows], "src string, id string, text string, parsed string, status string")
+    return {r.id for r in judged(df, **options).where(f"state = {CUT} and evidence = 'aligned'").collect()}
+
+
+def test_edited_copies_in_crowded_bands_are_aligned(spark):
+    run = " ".join(f"{a} {b}" for a in ("we", "they", "others", "some", "many", "all") for b in ("keep one", "move two", "sort three", "read four", "drop five"))
+    rows = [(f"r{i}", f"Case {i} of all.\nSo {run} red crate {i} away.") for i in range(6)]
+    # one word of the last eight is edited; both end alike, so that one alignment serves both
+    rows += [(f"cut{i}", f"Opening {i}.\nSo {run.replace('all drop five', 'all leave five')} red cr") for i in range(2)]
+    assert _aligned(spark, rows, hot=1) == _aligned(spark, rows, hot=1000) == {"cut0", "cut1"}
+
+
+def test_copies_that_share_only_common_bands_are_aligned(spark):
+    rng = random.Random(415)
+    words = [f"w{rng.randrange(100000)}" for _ in range(64)]
+    common, copy = words[38:], words[:38]
+    for at in (rng.randrange(8, 14), rng.randrange(22, 30)):
+        copy[at] = "edit"
+    rows = [("cut", words), ("whole", [*copy, *common, "and", "so", "on"])] + [(f"r{i}", [f"x{i}", *common, "and", "other", "things"]) for i in range(5)]
+    grams, there = tail_shingles(spans(" ".join(words))), set(zip(*(rows[1][1][k:] for k in range(5))))
+    assert len(grams & there) >= 0.8 * len(grams)
+    assert _aligned(spark, [(i, " ".join(w)) for i, w in rows]) == {"cut"}
