@@ -121,3 +121,13 @@ def test_many_programs_do_not_start_many_interpreters():
     for _ in range(10):
         both_ended = C._afresh(os.devnull, "/tmp", "", 5.0)[0]
     assert both_ended == "exit 0" and warm / 100 < (time.monotonic() - began) / 10 / 2
+
+
+def test_rollouts_that_loop_do_not_wait(spark):
+    from siltworks.operators import rollouts as RO
+
+    fence = "```python\ndef f(n):\n    while n > {0}:\n        n = 88 * (n + {0}) - 5\n    return n\n```"
+    rows = [("t", i, fence.format(i)) for i in range(24)]
+    tests = spark.createDataFrame([("t", ["assert f(9) == 9"])], "task_id string, tests array<string>")
+    got = {r.rollout: (r.status, r.elapsed) for r in RO.score_rollouts(spark.createDataFrame(rows, "task_id string, rollout int, completion string"), tests).collect()}
+    assert {i for i, (s, _) in got.items() if s == "pass"} == set(range(9, 24)) and max(e for _, e in got.values()) < 4
